@@ -212,7 +212,7 @@ SELECT v.dataset, v.protocol, r.seed, r.fold, v.variant, m.method,
        m.nf + CASE WHEN m.method = 'proposed' THEN CAST(r.h % 3 AS INTEGER)
                    WHEN m.method = 'kmeans_sil' THEN CAST(r.h % 4 AS INTEGER)
                    WHEN m.method = 'proposed_b5' AND r.h % 5 = 0 THEN -1 ELSE 0 END AS n_features,
-       t.task, c.clf, r.h, m.mi, v.vi, (r.h + r.fold * 13 + m.mi * 5 + t.ti * 3 + c.ci * 11 + v.vi * 7) % 17 AS q
+       t.task, c.clf, r.h, m.mi, v.vi, (r.h * (m.mi + 2) + r.fold * 13 + t.ti * 3 + c.ci * 11 + v.vi * 7) % 17 AS q
 FROM run_keys r
 CROSS JOIN (VALUES {_values(VARIANTS)}) AS v(dataset, protocol, variant, vi, few)
 CROSS JOIN (VALUES {_values(METHODS)}) AS m(method, nf, mi)
@@ -254,7 +254,7 @@ def eval_long(spark: SparkSession, sf: str) -> DataFrame:
         .withColumn("t", _options(TASKS, ["task", "ti"]))
         .withColumn("c", _options(CLASSIFIERS, ["clf", "ci"]))
     )
-    q = (F.col("h") + F.col("fold") * 13 + F.col("m.mi") * 5 + F.col("t.ti") * 3 + F.col("c.ci") * 11 + F.col("v.vi") * 7) % 17
+    q = (F.col("h") * (F.col("m.mi") + 2) + F.col("fold") * 13 + F.col("t.ti") * 3 + F.col("c.ci") * 11 + F.col("v.vi") * 7) % 17
     extra = (
         F.when(F.col("m.method") == "proposed", F.col("h") % 3)
         .when(F.col("m.method") == "kmeans_sil", F.col("h") % 4)
@@ -278,13 +278,13 @@ def eval_long(spark: SparkSession, sf: str) -> DataFrame:
 SELECTIONS = f"""{RUN_KEYS}, selections AS (
 SELECT seed * 10 + fold AS run_id, seed, fold, pos, 2 + CAST(h % 5 AS INTEGER) AS k_star
 FROM run_keys CROSS JOIN (SELECT CAST(unnest(range(12)) AS INTEGER) AS pos) AS p
-WHERE ((h % 1009) * (pos + 3) + pos) % 11 < 8)"""
+WHERE ((h % 1009) * (pos + 3) + pos * pos) % 11 < 8)"""
 
 
 def selections(spark: SparkSession, sf: str) -> DataFrame:
     """Selected feature positions per run, with the run's chosen number of clusters."""
     d = run_keys(spark, sf).withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(11))))
-    d = d.filter(((F.col("h") % 1009) * (F.col("pos") + 3) + F.col("pos")) % 11 < 8)
+    d = d.filter(((F.col("h") % 1009) * (F.col("pos") + 3) + F.col("pos") * F.col("pos")) % 11 < 8)
     return d.select(
         (F.col("seed") * 10 + F.col("fold")).alias("run_id"), "seed", "fold", "pos", (2 + F.col("h") % 5).cast("int").alias("k_star")
     )
