@@ -228,43 +228,41 @@ def ablation_table(
 def ablation_paired(
     ev: DataFrame, dataset: str, mask_budgets: list[int], search_budgets: list[int], protocol: str = "sample_k10", seed: int = 42,
 ) -> DataFrame:
-    """Controlled comparisons that change one component; at least five folds each."""
-    d = only(ev, dataset=dataset, protocol=protocol, seed=seed)
-    keys = ["task", "clf", "fold"]
-    rf = only(d, variant="main", clf="rf")
-    multi = only(rf, task="multiclass")
-
-    def scores(frame, name):
-        return frame.select(*keys, F.col("f1_macro").alias(name))
-
-    def side(name, a, b):
-        return scores(a, "a").join(scores(b, "b"), keys).withColumn("comparison", F.lit(name))
-
-    alone = only(d, variant="aug_independent")
-    natural = lambda x: only(x, method="proposed", clf=["rf", "dt"])
-    parts = [side("group vs independent masking (natural subset)", natural(only(d, variant="main")), natural(alone))]
-    for b in mask_budgets:
-        at = lambda x, b=b: only(x, method=f"proposed_b{b}", task="multiclass", clf="rf")
-        parts.append(side(f"group vs independent masking (budget k={b})", at(only(d, variant="main")), at(alone)))
-    base = only(rf, method="proposed")
-    # where the backward-only subset equals the full search, it was not evaluated again: same score
-    back = only(rf, method="proposed_backward_only")
-    ties = base.join(back.select(*keys), keys, "left_anti")
-    parts.append(side("bidirectional vs backward-only", base, back.unionByName(ties)))
-    # raw-space subset of the same size: its own evaluation, or the natural one where the sizes agree
-    raw = only(rf, method="kmeans_sil_at_nprop")
-    sizes = rf.groupBy("task", "fold").pivot("method", ["kmeans_sil", "proposed"]).agg(F.avg("n_features"))
-    same = sizes.filter(F.col("kmeans_sil") == F.col("proposed")).select("task", "fold")
-    extra = only(rf, method="kmeans_sil").join(raw.select(*keys), keys, "left_anti").join(same, ["task", "fold"], "left_semi")
-    parts.append(side("latent vs raw search at the same size", base, raw.unionByName(extra)))
-    for b in search_budgets:
-        mine = only(multi, method=f"proposed_b{b}").filter(F.col("n_features") == b)
-        theirs = only(multi, method=f"kmeans_sil_b{b}").filter(F.col("n_features") == b)
-        parts.append(side(f"latent vs raw search (budget k={b})", mine, theirs))
-    pairs = parts[0]
-    for p in parts[1:]:
-        pairs = pairs.unionByName(p)
-    out = compare(pairs, ["comparison", "task", "clf"], tie=1e-12).filter("n_pairs >= 5")
+    """Controlled comparisons that change one component; at least five folds each.
+
+    A small table names the two sides of each comparison, so all pairs come from one join
+    of the scores with themselves.
+    """
+    mask, back, space = "group vs independent masking", "bidirectional vs backward-only", "latent vs raw search"
+    spec = [(f"{mask} (natural subset)", "main", "proposed", "aug_independent", "proposed", ["rf", "dt"], list(TASKS), None)]
+    spec += [(f"{mask} (budget k={b})", "main", f"proposed_b{b}", "aug_independent", f"proposed_b{b}", ["rf"], ["multiclass"], None) for b in mask_budgets]
+    spec += [(back, "main", "proposed", "main", "proposed_backward_only", ["rf"], list(TASKS), None)]
+    spec += [(f"{space} at the same size", "main", "proposed", "main", "kmeans_sil_at_nprop", ["rf"], list(TASKS), None)]
+    spec += [(f"{space} (budget k={b})", "main", f"proposed_b{b}", "main", f"kmeans_sil_b{b}", ["rf"], ["multiclass"], b) for b in search_budgets]
+    sides = F.broadcast(
+        ev.sparkSession.createDataFrame(
+            spec, "comparison string, va string, ma string, vb string, mb string, clfs array<string>, tasks array<string>, size int"
+        )
+    )
+    d = only(ev, dataset=dataset, protocol=protocol, seed=seed).select("variant", "method", "task", "clf", "fold", "n_features", "f1_macro")
+    # a control that was not evaluated again takes the score of the subset it coincides with:
+    # backward-only equals the full search, the raw search at |S*| equals the raw natural subset of that size
+    key = ["task", "clf", "fold"]
+    seen = lambda m: F.max(F.col("method") == m).over(Window.partitionBy("variant", *key))
+    size_of = lambda m: F.max(F.when(F.col("method") == m, F.col("n_features"))).over(Window.partitionBy("variant", *key))
+    twin = F.when((F.col("method") == "proposed") & ~seen("proposed_backward_only"), "proposed_backward_only").when(
+        (F.col("method") == "kmeans_sil") & ~seen("kmeans_sil_at_nprop") & (size_of("kmeans_sil") == size_of("proposed")),
+        "kmeans_sil_at_nprop",
+    )
+    d = d.withColumn("_twin", twin)
+    d = d.withColumn("method", F.explode(F.array_compact(F.array("method", "_twin"))))
+    wanted = F.array_contains("clfs", F.col("clf")) & F.array_contains("tasks", F.col("task")) & (
+        F.col("size").isNull() | (F.col("n_features") == F.col("size"))
+    )
+    match = lambda v, m: (F.col("variant") == F.col(v)) & (F.col("method") == F.col(m)) & wanted
+    a = d.join(sides, match("va", "ma")).select("comparison", *key, F.col("f1_macro").alias("a"))
+    b = d.join(sides, match("vb", "mb")).select("comparison", *key, F.col("f1_macro").alias("b"))
+    out = compare(a.join(b, ["comparison", *key]), ["comparison", "task", "clf"], tie=1e-12).filter("n_pairs >= 5")
     return out.select(
         "comparison", "task", "clf", "n_pairs", "mean_a", "mean_b", "mean_diff", "n_positive", "n_negative", "wilcoxon_p", "tost_p"
     )

@@ -193,41 +193,66 @@ def _with_tails(ranks: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def signed_rank_tests(pairs: DataFrame, keys: list[str], shifts: list[float]) -> DataFrame:
+    """Signed-rank tails of a - b + shift for each shift, from one pass over the pairs."""
+    on = [*keys, "shift"]
+    long = pairs.withColumn("shift", F.explode(F.array(*[F.lit(float(s)) for s in shifts])))
+    sizes = long.groupBy(*on).agg(F.count(F.lit(1)).alias("n_pairs"))
+    tails = _with_tails(_signed_ranks(long, on, F.col("a") - F.col("b") + F.col("shift")), on)
+    return sizes.join(tails, on, "left")
+
+
+_ENOUGH = "n_pairs >= 5"
+
+
+def _two_sided() -> Column:
+    return F.least(F.lit(1.0), 2 * F.least("p_greater", "p_less"))
+
+
 def wilcoxon(pairs: DataFrame, keys: list[str], shift: float = 0.0) -> DataFrame:
     """Signed-rank test of a - b + shift per comparison: two-sided, greater and less.
 
     Zeros are dropped and ties get mid-ranks. NULL with fewer than five pairs or with no
     difference at all.
     """
-    diff = F.col("a") - F.col("b") + F.lit(shift) if shift else F.col("a") - F.col("b")
-    sizes = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_pairs"))
-    tails = _with_tails(_signed_ranks(pairs, keys, diff), keys)
-    ok = F.col("n_pairs") >= 5
-    both = F.least(F.lit(1.0), 2 * F.least("p_greater", "p_less"))
-    return sizes.join(tails, keys, "left").select(
+    ok = F.expr(_ENOUGH)
+    return signed_rank_tests(pairs, keys, [shift]).select(
         *keys,
         "n_pairs",
         "w_plus",
-        F.when(ok, both).alias("p_two_sided"),
+        F.when(ok, _two_sided()).alias("p_two_sided"),
         F.when(ok, F.col("p_greater")).alias("p_greater"),
         F.when(ok, F.col("p_less")).alias("p_less"),
     )
 
 
+def _tost_p(delta: float) -> Column:
+    """Larger of the two one-sided p-values; a sample without any difference cannot reject."""
+    ok = F.expr(_ENOUGH)
+    low = F.max(F.when((F.col("shift") == delta) & ok, F.coalesce("p_greater", F.lit(1.0))))
+    high = F.max(F.when((F.col("shift") == -delta) & ok, F.coalesce("p_less", F.lit(1.0))))
+    return F.when(low.isNotNull() & high.isNotNull(), F.greatest(low, high))
+
+
 def tost(pairs: DataFrame, keys: list[str], delta: float = 0.01) -> DataFrame:
     """Paired equivalence: the larger p of two one-sided signed-rank tests at +/- delta."""
-    low = wilcoxon(pairs, keys, delta).select(*keys, F.coalesce("p_greater", F.when(F.col("n_pairs") >= 5, 1.0)).alias("p1"))
-    high = wilcoxon(pairs, keys, -delta).select(*keys, F.coalesce("p_less", F.when(F.col("n_pairs") >= 5, 1.0)).alias("p2"))
-    return low.join(high, keys).select(*keys, F.greatest("p1", "p2").alias("tost_p"))
+    return signed_rank_tests(pairs, keys, [delta, -delta]).groupBy(*keys).agg(_tost_p(delta).alias("tost_p"))
+
+
+def _t_test(stats: DataFrame) -> DataFrame:
+    """Adds t and its p-values to (n_pairs, mean_diff, sd_diff)."""
+    t = F.when(F.col("sd_diff") > 0, F.col("mean_diff") / (F.col("sd_diff") / F.sqrt("n_pairs")))
+    out = stats.withColumn("t", t).withColumn("t_p_one", student_t_sf(F.col("t"), (F.col("n_pairs") - 1).cast("double")))
+    return out.withColumn("t_p_two", 2 * F.least("t_p_one", 1 - F.col("t_p_one"))).drop("sd_diff")
 
 
 def paired_t(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """Paired t statistic with its two-sided and one-sided (a > b) p-value."""
+    """Paired t statistic with its two-sided and one-sided (a > b) p-value; NULL without spread."""
     d = F.col("a") - F.col("b")
-    stats = pairs.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
-    stats = stats.withColumn("t", F.when(F.col("s") > 0, F.col("m") / (F.col("s") / F.sqrt("n"))))
-    stats = stats.withColumn("t_p_one", student_t_sf(F.col("t"), (F.col("n") - 1).cast("double")))
-    return stats.select(*keys, "t", (2 * F.least("t_p_one", 1 - F.col("t_p_one"))).alias("t_p_two"), "t_p_one")
+    stats = pairs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_pairs"), F.avg(d).alias("mean_diff"), F.stddev_samp(d).alias("sd_diff")
+    )
+    return _t_test(stats).select(*keys, "t", "t_p_two", "t_p_one")
 
 
 def compare(pairs: DataFrame, keys: list[str], delta: float = 0.01, alpha: float = 0.05, tie: float = 0.0) -> DataFrame:
@@ -240,13 +265,19 @@ def compare(pairs: DataFrame, keys: list[str], delta: float = 0.01, alpha: float
         F.avg("b").alias("mean_b"),
         F.avg(d).alias("mean_diff"),
         F.stddev_pop(d).alias("std_diff"),
+        F.stddev_samp(d).alias("sd_diff"),
         F.min(d).alias("diff_min"),
         F.max(d).alias("diff_max"),
         n(d > tie).alias("n_positive"),
         n(d < -tie).alias("n_negative"),
     )
-    w = wilcoxon(pairs, keys).select(*keys, F.col("p_two_sided").alias("wilcoxon_p"), F.col("p_greater").alias("wilcoxon_p_greater"))
-    out = base.join(w, keys).join(tost(pairs, keys, delta), keys).join(paired_t(pairs, keys), keys)
+    plain = (F.col("shift") == 0) & F.expr(_ENOUGH)
+    tests = signed_rank_tests(pairs, keys, [0.0, delta, -delta]).groupBy(*keys).agg(
+        F.max(F.when(plain, _two_sided())).alias("wilcoxon_p"),
+        F.max(F.when(plain, F.col("p_greater"))).alias("wilcoxon_p_greater"),
+        _tost_p(delta).alias("tost_p"),
+    )
+    out = _t_test(base.join(tests, keys))
     return out.withColumn("sig_wilcoxon", F.coalesce(F.col("wilcoxon_p_greater") < alpha, F.lit(False))).withColumn(
         "sig_t", F.coalesce(F.col("t_p_one") < alpha, F.lit(False))
     )
