@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,12 @@ def vector(cols: list[str]) -> Column:
     return F.array(*[F.col(c).cast("double") for c in cols])
 
 
+def dense(col: pa.Array) -> np.ndarray:
+    """A list column of equal lengths as a matrix, without a Python object per row."""
+    n = len(col)
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.empty((0, 0))
+
+
 def stack(s: pd.Series) -> np.ndarray:
     return np.vstack(s.to_numpy()) if len(s) else np.empty((0, 0))
 
@@ -27,20 +34,21 @@ def gram(df: DataFrame, vec: str, dim: int, shift: np.ndarray | None = None) ->
     offset = np.zeros(dim) if shift is None else np.asarray(shift, dtype=float)
     upper = np.triu_indices(dim)
 
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, g = 0, np.zeros(dim), np.zeros((dim, dim))
-        for pdf in batches:
-            if len(pdf):
-                x = stack(pdf[vec]) - offset
+        for batch in batches:
+            if batch.num_rows:
+                x = dense(batch.column(vec)) - offset
                 n += len(x)
                 s += x.sum(axis=0)
                 g += x.T @ x
         if n:
             i = np.concatenate([[-1], np.full(dim, -1), upper[0]])
             j = np.concatenate([[-1], np.arange(dim), upper[1]])
-            yield pd.DataFrame({"i": i, "j": j, "value": np.concatenate([[n], s, g[upper]])})
+            value = np.concatenate([[n], s, g[upper]])
+            yield pa.RecordBatch.from_arrays([pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(value)], names=["i", "j", "value"])
 
-    parts = df.select(vec).mapInPandas(partial, "i int, j int, value double")
+    parts = df.select(vec).mapInArrow(partial, "i int, j int, value double")
     total = parts.groupBy("i", "j").agg(F.sum("value").alias("value")).toPandas()
     n = int(round(total.loc[(total.i < 0) & (total.j < 0), "value"].sum()))
     s, g = np.zeros(dim), np.zeros((dim, dim))
