@@ -75,3 +75,130 @@ def fidelity(conf: DataFrame, keys: list[str]) -> DataFrame:
         F.avg("f1").alias("macro_f1"),
         F.count(F.lit(1)).alias("n_classes"),
     )
+
+
+# ---------------------------------------------------------------- classifiers
+
+FEATURES, LABEL = "_features", "_label"
+
+
+def class_names(df: DataFrame, label: str) -> list[str]:
+    """Lexicographic class list (one entry per class)."""
+    return [r[0] for r in df.select(label).distinct().orderBy(label).collect()]
+
+
+def assembled(df: DataFrame, features: list[str]) -> DataFrame:
+    from pyspark.ml.feature import VectorAssembler
+
+    return VectorAssembler(inputCols=features, outputCol=FEATURES, handleInvalid="error").transform(df)
+
+
+def indexed(df: DataFrame, features: list[str], label: str, names: list[str]) -> DataFrame:
+    """Training rows as (vector of the chosen features, lexicographic class index)."""
+    index = F.array_position(F.array(*[F.lit(n) for n in names]), F.col(label)) - 1
+    return assembled(df, features).select(FEATURES, index.cast("double").alias(LABEL))
+
+
+def clf_rf(trees: int = 100, depth: int = 15, seed: int = 42, bins: int = 64):
+    from pyspark.ml.classification import RandomForestClassifier
+
+    return RandomForestClassifier(featuresCol=FEATURES, labelCol=LABEL, numTrees=trees, maxDepth=depth, maxBins=bins, seed=seed, maxMemoryInMB=512)
+
+
+def clf_dt(depth: int = 15, seed: int = 42, bins: int = 64):
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    return DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, maxDepth=depth, maxBins=bins, seed=seed)
+
+
+def clf_gbt(rounds: int = 100, depth: int = 6, classes: int = 2, seed: int = 42):
+    """Boosted trees; several classes are handled one against the rest."""
+    from pyspark.ml.classification import GBTClassifier, OneVsRest
+
+    gbt = GBTClassifier(featuresCol=FEATURES, labelCol=LABEL, maxIter=rounds, maxDepth=depth, seed=seed)
+    return gbt if classes <= 2 else OneVsRest(classifier=gbt, featuresCol=FEATURES, labelCol=LABEL)
+
+
+CLASSIFIERS = {"rf": clf_rf, "dt": clf_dt, "gbt": clf_gbt}
+
+
+def clf_knn(train: DataFrame, test: DataFrame, features: list[str], labels: list[str], k: int = 5, id_col: str = "row_id") -> DataFrame:
+    """k-nearest-neighbour classes of the test rows: one neighbour join, one vote per label column."""
+    from telesift.functions.linalg import vector
+    from telesift.operators.neighbors import knn_join, knn_votes
+
+    near = knn_join(test.withColumn("v", vector(features)), train.withColumn("v", vector(features)), k, id_col)
+    out = test.select(id_col, *labels)
+    for label in labels:
+        votes = knn_votes(near, train, id_col, label).withColumnRenamed("p", f"p_{label}")
+        out = out.join(votes, id_col)
+    return out
+
+
+def predict(train: DataFrame, test: DataFrame, features: list[str], label: str, clf: str, names: list[str] | None = None, **kw) -> DataFrame:
+    """(id columns.., y, p): fit on the training rows, predict the test rows as class names."""
+    if clf not in CLASSIFIERS:
+        raise ValueError(f"unknown classifier {clf}; known: {sorted([*CLASSIFIERS, 'knn'])}")
+    names = names or class_names(train, label)
+    if clf == "gbt":
+        kw = {"classes": len(names), **kw}
+    rows = indexed(train, features, label, names).persist()
+    try:
+        model = CLASSIFIERS[clf](**kw).fit(rows)
+    finally:
+        rows.unpersist()
+    name_of = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("prediction").cast("int") + 1)
+    keep = [c for c in test.columns if c not in features]
+    return model.transform(assembled(test, features)).select(*keep, F.col(label).alias("y"), name_of.alias("p"))
+
+
+def evaluate_sets(
+    df: DataFrame, sets: dict[str, list[str]], tasks: dict[str, str], classifiers: dict[str, dict], features: list[str], k: int,
+    fold: str = "fold", id_col: str = "row_id", parallelism: int = 4,
+) -> DataFrame:
+    """Cross-validated metrics of many subsets x classifiers x tasks on given folds.
+
+    Scaling is fitted on each training part. Every fit is a distributed job and a few of
+    them run side by side; each model leaves only its classes x classes confusion cells,
+    which are scored together. Tasks with fewer than two classes are skipped; an empty set
+    stands for all features.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import inheritable_thread_target
+
+    from telesift.operators.scaling import apply_scaler, fit_scaler_training
+
+    spark = df.sparkSession
+    counts = df.agg(*[F.countDistinct(c).alias(t) for t, c in tasks.items()]).first().asDict()
+    live = {t: c for t, c in tasks.items() if counts[t] >= 2}
+    names = {t: class_names(df, c) for t, c in live.items()}
+    stats = fit_scaler_training(df, features, k, fold).persist()
+    cells = []
+
+    def cell_rows(pred: DataFrame, f: int, method: str, task: str, clf: str, width: int) -> list[tuple]:
+        return [(f, method, task, clf, width, r["y"], r["p"], r["n"]) for r in confusion(pred, []).collect()]
+
+    for f in range(k):
+        scaled = apply_scaler(df, stats.filter(F.col("eval_fold") == f), features)
+        scaled = scaled.select(id_col, fold, *live.values(), *features).persist()
+        train, test = scaled.filter(F.col(fold) != f), scaled.filter(F.col(fold) == f)
+
+        def run(job: tuple[str, str]) -> list[tuple]:
+            method, clf = job
+            cols, kw = sets[method] or features, classifiers[clf]
+            if clf == "knn":
+                got = clf_knn(train, test, cols, list(live.values()), id_col=id_col, **kw).persist()
+                pairs = {t: got.select(F.col(c).alias("y"), F.col(f"p_{c}").alias("p")) for t, c in live.items()}
+            else:
+                pairs = {t: predict(train, test, cols, c, clf, names[t], **kw) for t, c in live.items()}
+            return [row for t, pred in pairs.items() for row in cell_rows(pred, f, method, t, clf, len(cols))]
+
+        jobs = [(m, c) for m in sets for c in classifiers]
+        with ThreadPool(min(parallelism, len(jobs))) as pool:
+            for part in pool.map(inheritable_thread_target(spark)(run), jobs):
+                cells += part
+        scaled.unpersist()
+    stats.unpersist()
+    conf = spark.createDataFrame(cells, "fold int, method string, task string, clf string, n_features int, y string, p string, n bigint")
+    return metrics(conf, ["fold", "method", "task", "clf", "n_features"])
