@@ -61,12 +61,15 @@ def gram(df: DataFrame, vec: str, dim: int, shift: np.ndarray | None = None) ->
 
 
 def covariance(df: DataFrame, vec: str, dim: int, ddof: int = 1) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and covariance matrix; a first pass centres the second one."""
-    means = df.agg(*[F.avg(F.col(vec)[i]).alias(f"m{i}") for i in range(dim)]).first()
-    mean = np.array([m if m is not None else 0.0 for m in means], dtype=float)
-    n, s, g = gram(df, vec, dim, mean)
+    """Row count, mean and covariance matrix in one pass over the rows.
+
+    A few rows give a rough centre; it only conditions the products and cancels out.
+    """
+    head = [r[0] for r in df.select(vec).limit(200).collect()]
+    center = np.mean(np.array(head, dtype=float), axis=0) if head else np.zeros(dim)
+    n, s, g = gram(df, vec, dim, center)
     d = s / max(n, 1)
-    return n, mean + d, (g - n * np.outer(d, d)) / max(n - ddof, 1)
+    return n, center + d, (g - n * np.outer(d, d)) / max(n - ddof, 1)
 
 
 def project(vec: str, weights: np.ndarray, mean: np.ndarray | None = None) -> Column:

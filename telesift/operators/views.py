@@ -133,13 +133,13 @@ def vicreg_terms(
 ) -> DataFrame:
     """Invariance, variance hinge and off-diagonal covariance of two view tables, and their weighted sum."""
     pair = va.select(id_col, F.col(vec).alias("x")).join(vb.select(id_col, F.col(vec).alias("y")), id_col)
-    sq = F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d)
-    inv = pair.agg((F.avg(sq) / dim).alias("i")).first()["i"]
-    hinge, off = [], []
-    for side in ("x", "y"):
-        _, _, c = covariance(pair, side, dim)
-        hinge.append(float(np.maximum(0.0, 1.0 - np.sqrt(np.diag(c) + eps)).mean()))
-        off.append(float((c**2).sum() - (np.diag(c) ** 2).sum()) / dim)
+    # one pass over the joined rows gives the covariance of both views and between them
+    n, mean, c = covariance(pair.select(F.concat("x", "y").alias("z")), "z", 2 * dim)
+    cx, cy, between = c[:dim, :dim], c[dim:, dim:], np.diag(c[:dim, dim:])
+    gap = (np.diag(cx) + np.diag(cy) - 2 * between) * (n - 1) / n + (mean[:dim] - mean[dim:]) ** 2
+    inv = float(gap.mean())
+    hinge = [float(np.maximum(0.0, 1.0 - np.sqrt(np.diag(m) + eps)).mean()) for m in (cx, cy)]
+    off = [float((m**2).sum() - (np.diag(m) ** 2).sum()) / dim for m in (cx, cy)]
     var, cov = sum(hinge) / 2, sum(off) / 2
     loss = weights[0] * inv + weights[1] * var + weights[2] * cov
     return va.sparkSession.createDataFrame([(float(inv), var, cov, float(loss))], "invariance double, variance double, covariance double, loss double")

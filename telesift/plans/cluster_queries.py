@@ -17,6 +17,7 @@ from telesift.operators import search as Se
 from telesift.plans import fixtures as fx
 from telesift.plans.base_queries import FIT_COLS, VAR01, clean_cte, fit_sql, folded, long_sql, nn  # noqa: F401
 from telesift.plans.registry import query, r
+from telesift.sources.tables import stage
 
 FS = fx.FEATURES
 DIST = "list_distance({a}, {b})"
@@ -348,7 +349,7 @@ SEARCH_D = len(SEARCH_F)
 
 def search_table(spark, sf, k: int = 2):
     """Standardised training rows of each fold as (row_id, part, v)."""
-    folds = M.stratified_folds(fx.flows(spark, sf), "label2", k).select("row_id", "fold", *SEARCH_F)
+    folds = stage(M.stratified_folds(fx.flows(spark, sf), "label2", k).select("row_id", "fold", *SEARCH_F), "folds")
     train = M.train_test(folds, k).filter("role = 'train'")
     stats = S.fit_scaler_training(folds, SEARCH_F, k)
     z = S.apply_scaler(train, stats, SEARCH_F, ["eval_fold"])

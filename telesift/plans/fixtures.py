@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from telesift.sources.tables import read_table
 from telesift.table import FeatureTable
 
 FEATURES = [
@@ -43,7 +44,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{table}.parquet")
+    return read_table(spark, f"{sf}/{table}.parquet")
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:

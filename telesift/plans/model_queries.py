@@ -12,6 +12,7 @@ from telesift.operators import scaling as S
 from telesift.plans import fixtures as fx
 from telesift.plans.cluster_queries import EMB_F, _centers
 from telesift.plans.registry import query, r
+from telesift.sources.tables import stage
 
 FS = fx.FEATURES
 
@@ -74,9 +75,9 @@ def proxy_fidelity(spark, sf):
 
 def _flow_split(spark, sf, label: str):
     """Scaled flows with five folds; fold 0 is the test part."""
-    folds = M.stratified_folds(fx.flows(spark, sf), "label2", 5).select("row_id", "fold", "label1", "label2", *FS)
+    folds = stage(M.stratified_folds(fx.flows(spark, sf), "label2", 5).select("row_id", "fold", "label1", "label2", *FS), "folds")
     stats = S.fit_scaler_training(folds, FS, 5).filter("eval_fold = 0")
-    rows = S.apply_scaler(folds, stats, FS).select("row_id", "fold", label, *FS)
+    rows = stage(S.apply_scaler(folds, stats, FS).select("row_id", "fold", label, *FS), "scaled")
     return rows.filter("fold <> 0"), rows.filter("fold = 0")
 
 
@@ -112,7 +113,7 @@ def clf_knn(spark, sf):
 
 @query("evaluate_sets")
 def evaluate_sets(spark, sf):
-    folds = M.stratified_folds(fx.flows(spark, sf), "label2", 2).withColumn("one_class", F.lit("x"))
+    folds = stage(M.stratified_folds(fx.flows(spark, sf), "label2", 2).withColumn("one_class", F.lit("x")), "folds")
     return E.evaluate_sets(
         folds, {"all_features": [], "top3": ["price_ext", "vol_qty", "rate_tax"]},
         {"binary": "label1", "multiclass": "label2", "skipped": "one_class"}, {"dt": {"depth": 8}, "rf": {"trees": 10, "depth": 8}}, FS, 2,
