@@ -14,6 +14,7 @@ from telesift.functions.exprs import ln_factorial, null_safe_join, xlogx
 from telesift.functions.linalg import stack
 from telesift.operators.neighbors import distances
 from telesift.operators.sampling import sample_n
+from telesift.session import cut_lineage
 
 
 # ---------------------------------------------------------------- fit and assign
@@ -96,35 +97,45 @@ def row_silhouettes(x: np.ndarray, lab: np.ndarray, sample: np.ndarray, sample_l
     return np.where((mine > 1) & (top > 0), (b - a) / np.where(top > 0, top, 1), 0.0)
 
 
-def silhouette_rows(df: DataFrame, n: int = 2000, seed=42, id_col: str = "row_id", vec: str = "v", label: str = "cluster") -> DataFrame:
-    """Euclidean Silhouette of each row of a fixed md5 sample of at most n rows.
+def _sampled(df: DataFrame, n: int, seed, id_col: str, vec: str, label: str) -> pd.DataFrame:
+    """The evaluation sample: at most n rows in md5 order, gathered once."""
+    return sample_n(df.select(id_col, vec, label), n=n, seed=seed, id_col=id_col).toPandas().sort_values(id_col)
 
-    The sample (n x d numbers, bounded by the parameter) is shared with the tasks; every
-    task turns its rows into one number each, so no pair of rows is ever emitted.
-    """
-    sample = sample_n(df.select(id_col, vec, label), n=n, seed=seed, id_col=id_col)
-    local = sample.toPandas()
+
+def _scored(df: DataFrame, local: pd.DataFrame, id_col: str, vec: str, label: str) -> DataFrame:
+    """(id, s): tasks share the bounded sample and turn each of its rows into one number."""
+    spark = df.sparkSession
     kind = dict(df.dtypes)[id_col]
     if not len(local):
-        return df.sparkSession.createDataFrame([], f"{id_col} {kind}, s double")
-    shared = df.sparkSession.sparkContext.broadcast((stack(local[vec]), local[label].to_numpy()))
+        return spark.createDataFrame([], f"{id_col} {kind}, s double")
+    x, lab = stack(local[vec]), local[label].to_numpy()
+    shared = spark.sparkContext.broadcast((x, lab))
+    ids = spark.createDataFrame(local[[id_col]].assign(_i=np.arange(len(local)))).repartition(spark.sparkContext.defaultParallelism)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        x, lab = shared.value
+        rows, labels = shared.value
         for pdf in batches:
             if len(pdf):
-                yield pd.DataFrame({id_col: pdf[id_col], "s": row_silhouettes(stack(pdf[vec]), pdf[label].to_numpy(), x, lab)})
+                i = pdf["_i"].to_numpy()
+                yield pd.DataFrame({id_col: pdf[id_col], "s": row_silhouettes(rows[i], labels[i], rows, labels)})
+
+    return ids.mapInPandas(score, f"{id_col} {kind}, s double")
 
-    return sample.mapInPandas(score, f"{id_col} {kind}, s double")
+
+def silhouette_rows(df: DataFrame, n: int = 2000, seed=42, id_col: str = "row_id", vec: str = "v", label: str = "cluster") -> DataFrame:
+    """Euclidean Silhouette of each row of a fixed md5 sample of at most n rows.
+
+    The sample (n x d numbers, bounded by the parameter) is shared with the tasks, and no
+    pair of rows is ever emitted.
+    """
+    return _scored(df, _sampled(df, n, seed, id_col, vec, label), id_col, vec, label)
 
 
 def silhouette(df: DataFrame, n: int = 2000, seed=42, id_col: str = "row_id", vec: str = "v", label: str = "cluster") -> DataFrame:
     """Mean Silhouette of the sample; -1 when it holds fewer than two clusters."""
-    sample = sample_n(df.select(id_col, vec, label), n=n, seed=seed, id_col=id_col)
-    classes = sample.agg(F.countDistinct(label)).scalar()
-    rows = silhouette_rows(df, n, seed, id_col, vec, label)
-    out = rows.agg(F.avg("s").alias("s"), F.count(F.lit(1)).alias("n_rows")).withColumn("_k", classes)
-    return out.select(F.when(F.col("_k") < 2, F.lit(-1.0)).otherwise(F.col("s")).alias("silhouette"), "n_rows")
+    local = _sampled(df, n, seed, id_col, vec, label)
+    value = F.lit(-1.0) if local[label].nunique() < 2 else F.avg("s")
+    return _scored(df, local, id_col, vec, label).agg(value.alias("silhouette"), F.count(F.lit(1)).alias("n_rows"))
 
 
 def silhouette_full(df: DataFrame, vec: str = "v", label: str = "cluster") -> DataFrame:
@@ -326,7 +337,7 @@ def label_pairs(labels: DataFrame, keys: list[str], id_col: str = "row_id") -> D
 
 def pair_agreement(labels: DataFrame, keys: list[str] = (), id_col: str = "row_id") -> DataFrame:
     """ARI and AMI of every pair of pipelines on the same rows."""
-    cells = label_pairs(labels, list(keys), id_col)
+    cells = cut_lineage(label_pairs(labels, list(keys), id_col))  # a few cells per pair, read several times
     on = ["p1", "p2", *[f"{k}_{s}" for k in keys for s in (1, 2)]]
     return ari(cells, on).join(ami(cells, on), on)
 

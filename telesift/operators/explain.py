@@ -125,9 +125,7 @@ def tree_shap(df: DataFrame, model, features: list[str], id_col: str = "row_id",
     heads = [id_col, *keep]
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
+        for pdf in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
             x = stack(pdf["_x"])
             phi = np.zeros((len(x), k, d))
             for share, path in shared.value:

@@ -20,7 +20,7 @@ def path_subsets(history: DataFrame, d: int, run: str = "run_id") -> DataFrame:
     start = last.select(run, F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("pos"), F.lit(0).alias("step"), F.lit("add").alias("action"))
     events = start.unionByName(history.filter(F.col("pos").isNotNull()).select(run, "pos", "step", "action"))
     until = F.lead("step").over(Window.partitionBy(run, "pos").orderBy("step"))
-    spans = events.withColumn("_next", until).filter("action = 'add'").join(F.broadcast(last), run)
+    spans = events.withColumn("_next", until).filter("action = 'add'").join(last, run)
     members = spans.withColumn("_to", F.coalesce(F.col("_next") - 1, F.col("_last"))).filter("_to >= step").select(
         run, "pos", F.explode(F.sequence("step", "_to")).alias("t")
     )

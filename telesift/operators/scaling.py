@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from telesift.functions.exprs import feature_stats, filled, finite_or_null, null_safe_join
 from telesift.operators.profile import select_features, zero_variance
+from telesift.session import stage
 
 
 def _moments(df: DataFrame, features: list[str], by: list[str]) -> DataFrame:
@@ -87,8 +88,11 @@ def _scaled(c: str, s: Column) -> Column:
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
-    """Clean and standardise. The statistics hold one line per feature and group, so they
-    are pivoted to one row per group and joined by broadcast (or read as a scalar row)."""
+    """Clean and standardise. The statistics are pivoted to one row per group.
+
+    Without groups that row is a scalar. With groups it is written out first: Spark then
+    knows its real size and broadcasts it only below its own threshold.
+    """
     by = list(by)
     row = [
         F.max(F.when(F.col("pos") == i, F.struct("fmax", "mean", "std"))).alias(f"_s{i}") for i in range(len(features))
@@ -96,7 +100,7 @@ def apply_scaler(df: DataFrame, stats: DataFrame, features: list[str], by: list[
     wide = stats.groupBy(*by).agg(*row) if by else stats.agg(*row)
     names = [f"_s{i}" for i in range(len(features))]
     if by:
-        joined = df.join(F.broadcast(wide), by)
+        joined = df.join(stage(wide, "scaler"), by)
         pick = {f: F.col(n) for f, n in zip(features, names)}
     else:
         joined = df.withColumn("_s", wide.select(F.struct(*names).alias("s")).scalar())

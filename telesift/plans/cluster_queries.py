@@ -17,7 +17,7 @@ from telesift.operators import search as Se
 from telesift.plans import fixtures as fx
 from telesift.plans.base_queries import FIT_COLS, VAR01, clean_cte, fit_sql, folded, long_sql, nn  # noqa: F401
 from telesift.plans.registry import query, r
-from telesift.sources.tables import stage
+from telesift.session import stage
 
 FS = fx.FEATURES
 DIST = "list_distance({a}, {b})"

@@ -12,7 +12,7 @@ from telesift.operators import scaling as S
 from telesift.plans import fixtures as fx
 from telesift.plans.cluster_queries import EMB_F, _centers
 from telesift.plans.registry import query, r
-from telesift.sources.tables import stage
+from telesift.session import stage
 
 FS = fx.FEATURES
 

@@ -315,7 +315,7 @@ def signed_rank_sql(tag: str, diff: str, src: str = "pairs", keys: str = PKS) ->
     {tag}_t AS (SELECT {keys}, sum(CASE WHEN s >= w2 THEN c ELSE 0 END) / sum(c) AS p_greater, sum(CASE WHEN s <= w2 THEN c ELSE 0 END) / sum(c) AS p_less
       FROM {tag}_dp JOIN {tag}_w {join} WHERE i = m GROUP BY {keys}),
     {tag} AS (SELECT {keys}, n, w2 / 2.0 AS w_plus, CASE WHEN n >= 5 THEN p_greater END AS p_greater, CASE WHEN n >= 5 THEN p_less END AS p_less,
-      CASE WHEN n >= 5 THEN least(1.0, 2 * least(p_greater, p_less)) END AS p_two_sided FROM {tag}_n LEFT JOIN {tag}_w {join} LEFT JOIN {tag}_t {join})"""
+      CASE WHEN n >= 5 AND p_greater IS NOT NULL THEN least(1.0, 2 * least(p_greater, p_less)) END AS p_two_sided FROM {tag}_n LEFT JOIN {tag}_w {join} LEFT JOIN {tag}_t {join})"""
 
 
 def _pairs(spark, sf, seeds=(42,)):

@@ -18,9 +18,7 @@ _PATH = rf"/{_SEG}/{_SEG}/seed=?(\d+)/fold=?(\d+)/{_SEG}/(?:file=)?"
 
 def _tree(spark: SparkSession, root: str, file: str) -> DataFrame:
     raw = (
-        spark.read.option("wholetext", True)
-        .option("recursiveFileLookup", True)
-        .text(f"{root}/*/*/*/*/*/*{file}")
+        spark.read.text(f"{root}/*/*/*/*/*/*{file}", wholetext=True, recursiveFileLookup=True)
         .withColumn("_p", F.input_file_name())
     )
     pattern = _PATH + file.replace(".", r"\.")

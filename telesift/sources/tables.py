@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from telesift.operators.profile import signed_log_features
-from telesift.session import scratch_path
 from telesift.table import FeatureTable, numeric_columns
 
 
@@ -29,14 +28,6 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return df.repartition(cores) if splits < cores and size > SPREAD_FROM else df
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table once to the shared folder and go on from the files."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
-
-
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sampling: float = 1.0) -> DataFrame:
     """Wide CSV with a header; types are inferred unless a schema is given."""
     reader = spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
