@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from telesift.functions.exprs import INF, feature_stats, null_safe_join, signed_log
+from telesift.session import stage
 from telesift.table import FeatureTable, numeric_columns
 
 
@@ -130,20 +131,28 @@ def group_index(ft: FeatureTable) -> DataFrame:
 
 
 def dataset_summary(df: DataFrame, features: list[str], label: str, entity: str) -> DataFrame:
-    """One row: size, class and entity counts, missing and infinite cells, constant features."""
+    """One row: size, class and entity counts, missing and infinite cells, constant features.
+
+    Rows are reduced per (label, entity) first, so the distinct counts run over few cells.
+    """
     x = lambda f: F.col(f).cast("double")
     add = lambda cols: sum(cols[1:], cols[0])
-    missing = add([F.sum((F.col(f).isNull() | F.isnan(x(f))).cast("long")) for f in features])
-    infinite = add([F.sum(F.coalesce(F.abs(x(f)) == INF, F.lit(False)).cast("long")) for f in features])
-    constant = add([(F.coalesce(F.stddev_samp(present(f)), F.lit(0.0)) == 0).cast("long") for f in features])
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
+    cells = df.groupBy(F.col(label).alias("_l"), F.col(entity).alias("_e")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum(add([(F.col(f).isNull() | F.isnan(x(f))).cast("long") for f in features])).alias("missing"),
+        F.sum(add([F.coalesce(F.abs(x(f)) == INF, F.lit(False)).cast("long") for f in features])).alias("infinite"),
+        *[F.min(present(f)).alias(f"lo{i}") for i, f in enumerate(features)],
+        *[F.max(present(f)).alias(f"hi{i}") for i, f in enumerate(features)],
+    )
+    same = lambda i: (F.min(f"lo{i}") == F.max(f"hi{i}")) & (F.abs(F.max(f"hi{i}")) < INF)
+    return cells.agg(
+        F.sum("n").alias("n_rows"),
         F.lit(len(features)).alias("n_features"),
-        F.countDistinct(label).alias("n_classes"),
-        F.countDistinct(entity).alias("n_entities"),
-        missing.alias("n_missing"),
-        infinite.alias("n_infinite"),
-        constant.alias("n_constant"),
+        F.countDistinct("_l").alias("n_classes"),
+        F.countDistinct("_e").alias("n_entities"),
+        F.sum("missing").alias("n_missing"),
+        F.sum("infinite").alias("n_infinite"),
+        add([F.coalesce(same(i), F.lit(True)).cast("long") for i in range(len(features))]).alias("n_constant"),
     )
 
 
@@ -183,4 +192,4 @@ def encode_labels(df: DataFrame, col: str, name: str | None = None) -> DataFrame
     """Lexicographic class index. The class list is reduced first and joined back."""
     classes = df.select(col).distinct()
     index = classes.withColumn(name or f"{col}_idx", F.row_number().over(Window.orderBy(col)) - 1)
-    return null_safe_join(df, index, [col])
+    return null_safe_join(df, stage(index, "classes"), [col])

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from telesift.functions.exprs import null_safe_join
 from telesift.functions.hashing import digest, uniform
+from telesift.session import stage
 
 PREFIX = 3
 
@@ -36,9 +37,12 @@ def _ranges(keyed: DataFrame, by: list[str]) -> DataFrame:
 
 
 def _numbered(keyed: DataFrame, ranges: DataFrame, by: list[str], id_col: str, name: str) -> DataFrame:
-    joined = null_safe_join(keyed, ranges, [*by, "_b"])
-    inner = Window.partitionBy(*by, "_b").orderBy("_h", id_col)
-    return joined.withColumn(name, F.col("_before") + F.row_number().over(inner))
+    # one struct key (NULL groups equal each other) serves the join and the window: one shuffle
+    key = F.struct(*by, "_b").alias("_k")
+    facts = [c for c in ranges.columns if c not in (*by, "_b")]
+    joined = keyed.withColumn("_k", key).join(ranges.select(key, *facts), "_k")
+    inner = Window.partitionBy("_k").orderBy("_h", id_col)
+    return joined.withColumn(name, F.col("_before") + F.row_number().over(inner)).drop("_k")
 
 
 def hash_rank(
@@ -178,7 +182,9 @@ def stratified_group_folds(df: DataFrame, y: str, grp: str = "grp", k: int = 5,
     order = Window.partitionBy("_dom").orderBy(F.desc("_s"), digest(seed, F.col(grp)), grp)
     slot = (F.row_number().over(order) - 1) % (2 * k)
     folds = groups.select(grp, F.when(slot < k, slot).otherwise(2 * k - 1 - slot).cast("int").alias("fold"))
-    return null_safe_join(df, folds, [grp])
+    # written out first: the join then broadcasts the table only if its real size allows it,
+    # and falls back to a sort-merge join whose hot groups are split at run time
+    return null_safe_join(df, stage(folds, "group-folds"), [grp])
 
 
 def full_fold(df: DataFrame) -> DataFrame:

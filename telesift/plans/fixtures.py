@@ -44,7 +44,7 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_
 
 
 def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{table}.parquet")
+    return read_table(spark, f"{sf}/{table}.parquet", spread=table in ("lineitem", "events", "embeddings"))
 
 
 def flows(spark: SparkSession, sf: str) -> DataFrame:

@@ -43,7 +43,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder (survives the loss of an executor)."""
     spark = df.sparkSession
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
+    if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(scratch_path(spark, "checkpoint"))
     return df.checkpoint(eager=True)
 

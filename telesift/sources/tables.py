@@ -12,20 +12,15 @@ from telesift.operators.profile import signed_log_features
 from telesift.table import FeatureTable, numeric_columns
 
 
-SPREAD_FROM = 1 << 20  # bytes; smaller inputs are left as they are
-
-
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet scan; a file that yields fewer splits than there are cores is spread over them.
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """Parquet scan; ``spread`` deals a file with fewer splits than cores over all of them.
 
     Large tables have many splits and are read as they are, without a shuffle. Column pruning
     and filters still reach the scan.
     """
     df = spark.read.parquet(path)
     cores = spark.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if splits < cores and size > SPREAD_FROM else df
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
 def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sampling: float = 1.0) -> DataFrame:
