@@ -43,13 +43,16 @@ SELECT md5(concat_ws('|', CAST(l_orderkey AS VARCHAR), CAST(l_linenumber AS VARC
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey)"""
 
 
-def read(spark: SparkSession, sf: str, table: str) -> DataFrame:
-    return read_table(spark, f"{sf}/{table}.parquet", spread=table in ("lineitem", "events", "embeddings"))
+def read(spark: SparkSession, sf: str, table: str, spread: bool = False) -> DataFrame:
+    return read_table(spark, f"{sf}/{table}.parquet", spread)
 
 
-def flows(spark: SparkSession, sf: str) -> DataFrame:
-    """Wide flow records: twelve features in four groups, with missing, infinite and constant columns."""
-    line, orders, part = (read(spark, sf, t) for t in ("lineitem", "orders", "part"))
+def flows(spark: SparkSession, sf: str, spread: bool = False) -> DataFrame:
+    """Wide flow records: twelve features in four groups, with missing, infinite and constant columns.
+
+    ``spread`` serves queries with much work per row on a file that is a single split.
+    """
+    line, orders, part = read(spark, sf, "lineitem", spread), read(spark, sf, "orders"), read(spark, sf, "part")
     wide = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(
         part, F.col("l_partkey") == F.col("p_partkey")
     )

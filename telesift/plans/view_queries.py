@@ -42,8 +42,8 @@ OWNER = {f: g for g, fs in fx.GROUPS.items() for f in fs}
 
 
 def _scaled(spark, sf):
-    flows = fx.flows(spark, sf).select("row_id", *FS)
-    return S.apply_scaler(flows, S.fit_scaler(flows, FS), FS)
+    stats = S.fit_scaler(fx.flows(spark, sf), FS)
+    return S.apply_scaler(fx.flows(spark, sf, spread=True).select("row_id", *FS), stats, FS)
 
 
 def cells(fn, digits=5) -> str:
@@ -139,7 +139,7 @@ def _legacy(f: str) -> str:
     digits=4,
 )
 def legacy_views(spark, sf):
-    return V.legacy_views(fx.flows(spark, sf).select("row_id", *LEGACY_F), LEGACY_F, SIZE)
+    return V.legacy_views(fx.flows(spark, sf, spread=True).select("row_id", *LEGACY_F), LEGACY_F, SIZE)
 
 
 # ---------------------------------------------------------------- representation
