@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,3 +61,15 @@ def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataF
     start = spark.createDataFrame(offsets, "_part int, _start long")
     numbered = laid.withColumn("_row", F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1)
     return numbered.join(start, "_part").withColumn(name, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
+
+
+def portions(batches, column: str = "text", most: int = 4_000_000):
+    """Arrow batches cut to about `most` bytes of the column (one row at least), so that a task's memory stays bounded."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        ends, first = np.cumsum(sizes), 0
+        while first < batch.num_rows:
+            done = ends[first - 1] if first else 0
+            last = max(first + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(first, last - first)
+            first = last
