@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from telesift.llm import exact, mixing, packing  # noqa: F401
+from telesift.llm import exact, language, mixing, packing  # noqa: F401
 from telesift.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
