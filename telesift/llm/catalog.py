@@ -1,6 +1,6 @@
 """Importing this module registers every query of the subpackage."""
 
-from telesift.llm import exact, extract, language, mixing, near, packing, toxicity  # noqa: F401
+from telesift.llm import exact, extract, language, mixing, near, packing, repeats, toxicity  # noqa: F401
 from telesift.llm.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
