@@ -54,12 +54,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, one row for each distinct text."""
     found = staged(duplicates(docs), "duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    # rows of one id that are repeated: only these few move again
-    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_twice"))
-    again = left.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return left.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti").unionByName(again)
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    # rows that are repeated with their id: only these few move again
+    twice = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
+    twice = twice.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 SQL = """

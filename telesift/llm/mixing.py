@@ -50,12 +50,12 @@ def water_fill(sources: DataFrame, budget: float, max_epochs: float) -> DataFram
 
 
 def mix(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: str = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every document.
+    """(doc_id, source, text_hash, size, source_size, target, taken) for every document.
 
     The order within a source is cut into about sqrt(n) digest ranges: ranges are summed first, and the running sum is
     taken inside a range plus the sum of the ranges before it, so a source with a third of all rows is many equal tasks.
     """
-    sizes = staged(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), digest(seed, F.col("doc_id")).alias("draw"), uniform(seed, F.col("doc_id")).alias("u")), "mix-sizes")
+    sizes = staged(docs.select("doc_id", "source", F.xxhash64("text").alias("text_hash"), word_count(F.col("text")).alias("size"), digest(seed, F.col("doc_id")).alias("draw"), uniform(seed, F.col("doc_id")).alias("u")), "mix-sizes")
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     ranked = ordinals(sources, [F.col("source").asc_nulls_last()])
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("ordinal") % len(weights) + 1).cast("int"))
@@ -71,11 +71,11 @@ def mix(docs: DataFrame, budget: float = 1.5, max_epochs: float = 2.0, weights:
     sums = placed.groupBy("_source", "range").agg(F.sum("size").alias("range_size"))
     before = sums.withColumn("before", F.coalesce(F.sum("range_size").over(W.partitionBy("_source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
     before = before.select(F.col("_source").alias("_s"), F.col("range").alias("_r"), "before")
-    inside = W.partitionBy("source", "range").orderBy("draw", "size", "doc_id").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy("source", "range").orderBy("draw", "size", "doc_id", "text_hash").rowsBetween(W.unboundedPreceding, -1)
     laid = placed.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     laid = laid.join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("range") == F.col("_r")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("extra") - F.col("ahead") - F.col("before")))
-    return laid.select("doc_id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return laid.select("doc_id", "source", "text_hash", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
@@ -83,9 +83,14 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A document of size 0 has no words to take and appears in no mix.
     """
-    chosen = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    chosen = chosen.groupBy("_id", "_size").agg(F.max("_taken").alias("_taken"))
-    rows = docs.withColumn("_words", word_count(F.col("text"))).join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_words") == F.col("_size")))
+    chosen = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    # rows that are repeated with their id share what the mix takes of them
+    chosen = chosen.groupBy("_id", "_hash", "_size").agg(F.sum("_taken").alias("_taken"))
+    first = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), "n")
+    chosen = chosen.join(first, chosen["_id"].eqNullSafe(first["_id"]) & (chosen["_hash"] == first["_hash"]), "left").select(
+        chosen["_id"], chosen["_hash"], "_size", F.ceil(F.col("_taken") / F.coalesce("n", F.lit(1))).alias("_taken")
+    )
+    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
     rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
     left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
     whole = left >= F.col("_size")
@@ -119,4 +124,4 @@ from x
 @query("op3_mixing", SQL)
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its share of a mix of 150 % of all words, sources weighing 3, 1, 2 in turn and at most twice."""
-    return mix(read(spark, sf_dir, "documents")).drop("source")
+    return mix(read(spark, sf_dir, "documents")).drop("source", "text_hash")

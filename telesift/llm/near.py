@@ -16,7 +16,7 @@ Sets that are equal are one class from the start; sketches move once per class a
 Defined results: texts that are null or have no word have an empty set, no link and their own id as component; with
 fewer words than a shingle has, the whole sequence is the only shingle; repeated rows are copies of each other; rows
 whose id is null take part, but a component's id is the smallest that is not null; an empty table gives no rows;
-further columns are ignored (`components`) or kept (`kept_documents`).
+repeated rows of the kept one stay with it; further columns are ignored (`components`) or kept (`kept_documents`).
 """
 
 from __future__ import annotations
@@ -132,7 +132,7 @@ def sketches(hashes: np.ndarray, common: np.ndarray, similarity: int = SIMILARIT
 
 
 def sets_info(docs: DataFrame, n: int, rate: float) -> DataFrame:
-    """(doc_id, n_shingles, class, sampled): sampled has the shingles of a hash draw of the classes."""
+    """(doc_id, text_hash, n_shingles, class, sampled): sampled has the shingles of a hash draw of the classes."""
 
     def run(batches):
         for batch in portions(batches):
@@ -141,9 +141,10 @@ def sets_info(docs: DataFrame, n: int, rate: float) -> DataFrame:
                 sizes.append(len(s))
                 ids.append(class_id(s))
                 some.append(s.view(np.int64) if ids[-1] % 1_000_003 < rate * 1_000_003 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "class", "sampled"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "sampled"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long, sampled array<long>")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, class long, sampled array<long>")
 
 
 def shown_cells(docs: DataFrame, common: np.ndarray, n: int, similarity: int) -> DataFrame:
@@ -266,26 +267,26 @@ def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int =
 
 
 def components(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row."""
+    """(doc_id, text_hash, n_shingles, component_id, kept) of every row: one row of each component is kept, and all rows without words."""
     rate = keep_rate(docs.count(), SAMPLED)
     info = staged(sets_info(docs, n, rate), "near-info")
     label = connected(links(docs, info, n, similarity))
-    named = info.select("doc_id", "n_shingles", "class").where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")
+    named = info.where("n_shingles > 0").groupBy("class").agg(F.min(place).alias("least"))
     named = named.join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of = staged(named.join(least, "label").select("class", "component_id"), "near-components")
-    filled = info.select("doc_id", "n_shingles", "class").join(of, "class", "left")
-    return filled.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = named.groupBy("label").agg(F.min("least").alias("first"))
+    of = staged(named.join(least, "label").select("class", "first"), "near-components")
+    filled = info.join(of, "class", "left").withColumn("first", F.when(F.col("n_shingles") > 0, F.col("first")).otherwise(place))
+    return filled.select("doc_id", "text_hash", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("first") == place).alias("kept"))
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose id is the component's. Texts without words all stay."""
-    found = staged(components(docs), "near-found")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("n_shingles") > 0)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One document of each component stays: that of the smallest id. Texts without words all stay."""
+    gone = staged(components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-gone")
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
 
 
 @query("op8_near_join")
 def op8_near_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: five-word shingles, Jaccard similarity 0.8 or more."""
-    return components(read(spark, sf_dir, "documents"))
+    return components(read(spark, sf_dir, "documents")).drop("text_hash", "kept")
