@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +49,19 @@ def keep_rate(counted: int, most: int) -> float:
     return 1.0 if counted <= most else most / counted
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """The rows as one struct `row` beside key columns, so that no name of the input can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[k.alias(n) for n, k in keys.items()])
+
+
+def without(docs: DataFrame, gone: DataFrame, *keys: Column, how: str = "left_anti") -> DataFrame:
+    """The rows whose keys are not among those of `gone` (its columns, in order); null equals null."""
+    rows = packed(docs, **{f"key{i}": k for i, k in enumerate(keys)})
+    gone = gone.toDF(*[f"gone{i}" for i in range(len(keys))])
+    same = reduce(and_, [F.col(f"key{i}").eqNullSafe(F.col(f"gone{i}")) for i in range(len(keys))])
+    return rows.join(gone, same, how).select("row.*")
+
+
 def ordinals(df: DataFrame, order: list[Column], name: str = "ordinal") -> DataFrame:
     """Global row number (from 0) in the given order without gathering the rows in one task.
 

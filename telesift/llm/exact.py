@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telesift.llm.common import read, staged
+from telesift.llm.common import read, staged, without
 from telesift.llm.registry import query
 
 LEAST_CHUNK, MOST_CHUNK = 1536, 8192
@@ -54,14 +54,12 @@ def duplicates(docs: DataFrame) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, one row for each distinct text."""
     found = staged(duplicates(docs), "duplicates")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest")).distinct()
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest")), "left_anti")
+    left = without(docs, found.where(~F.col("kept")).select("doc_id", "text_sha256").distinct(), F.col("doc_id"), digest)
     # rows that are repeated with their id: only these few move again
-    twice = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
-    twice = twice.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (digest == F.col("_digest"))
-    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    twice = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_sha256")
+    again = without(left, twice, F.col("doc_id"), digest, how="left_semi").dropDuplicates(["doc_id", "text"])
+    return without(left, twice, F.col("doc_id"), digest).unionByName(again)
 
 
 SQL = """

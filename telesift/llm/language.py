@@ -197,7 +197,7 @@ _scored: dict[str, dict] = {}  # per worker process: the lattice and words' scor
 def predict(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> DataFrame:
     """Adds lang_pred and score (posterior probability, languages equally likely before) to (doc_id, text, further columns)."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    kept = [f for f in docs.schema.fields if f.name != "text"]
+    kept = [f for f in docs.schema.fields if f.name not in ("text", "lang_pred", "score")]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
     key = f"{id(model)}-{np.random.default_rng().integers(1 << 62)}"
 

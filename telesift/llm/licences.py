@@ -112,7 +112,8 @@ def own_licences(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """Adds licence, score, licences (all found), and licence_file to (path, text, further columns)."""
     vocabulary = sorted(set().union(*(terms(x.lower()) for _, x in templates)))
     df, n = frequencies(files, vocabulary)
-    kept = [f for f in files.schema.fields if f.name != "text"]
+    added = ("text", "licence", "score", "licences", "licence_file", "origin", "from_path")
+    kept = [f for f in files.schema.fields if f.name not in added]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["licence string, score double, licences array<string>, licence_file boolean"])
 
     def scan(text: str | None, path: str | None, matcher: Matcher, machine) -> tuple:

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telesift.functions.hashing import digest, uniform
-from telesift.llm.common import WORD, ordinals, read, staged
+from telesift.llm.common import WORD, ordinals, packed, read, staged
 from telesift.llm.registry import query
 
 SEED = "mix-1"
@@ -83,22 +83,19 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A document of size 0 has no words to take and appears in no mix.
     """
-    chosen = mix(docs, **options).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
+    chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
     # rows that are repeated with their id share what the mix takes of them
-    chosen = chosen.groupBy("_id", "_hash", "_size").agg(F.sum("_taken").alias("_taken"))
-    first = docs.groupBy("doc_id", F.xxhash64("text").alias("h")).agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), "n")
-    chosen = chosen.join(first, chosen["_id"].eqNullSafe(first["_id"]) & (chosen["_hash"] == first["_hash"]), "left").select(
-        chosen["_id"], chosen["_hash"], "_size", F.ceil(F.col("_taken") / F.coalesce("n", F.lit(1))).alias("_taken")
-    )
-    rows = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    rows = rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")
-    whole = left >= F.col("_size")
-    head = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0)), F.lit(1), left.cast("int")), "")
-    cut = rows.withColumn("text", F.when(whole, F.col("text")).otherwise(head))
+    chosen = chosen.where("taken > 0").withColumn("taken", F.ceil(F.col("taken") / F.col("rows")))
+    rows = packed(docs, key=F.col("doc_id"), key_hash=F.xxhash64("text")).join(chosen, F.col("key").eqNullSafe(F.col("id")) & (F.col("key_hash") == F.col("hash")))
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
+    left = F.col("taken") - (F.col("copy") - 1) * F.col("size")
+    whole = left >= F.col("size")
+    words = F.regexp_extract_all(F.col("row.text"), F.lit(rf"{WORD}[\x20\x09-\x0D]*"), F.lit(0))
+    rows = rows.withColumn("cut", F.when(~whole, F.array_join(F.slice(words, F.lit(1), left.cast("int")), "")))
+    new = {"text": F.coalesce("cut", "row.text")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return cut.select(*docs.columns)
+        new["n_chars"] = F.when(whole, F.col("row.n_chars")).otherwise(F.length("cut")).cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 SQL = r"""

@@ -30,7 +30,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telesift.llm.bytehash import BLANK, CASELESS, Rolling, bitmap, maybe_in, mix, text_bytes
-from telesift.llm.common import keep_rate, portions, read, released, staged
+from telesift.llm.common import keep_rate, portions, read, released, staged, without
 from telesift.llm.registry import query
 
 SHINGLE, SIMILARITY = 5, 80  # words; hundredths
@@ -282,8 +282,8 @@ def components(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY)
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that of the smallest id. Texts without words all stay."""
-    gone = staged(components(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "near-gone")
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")
+    gone = staged(components(docs).where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near-gone")
+    return without(docs, gone, F.col("doc_id"), F.xxhash64("text"))
 
 
 @query("op8_near_join")
