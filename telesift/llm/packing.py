@@ -12,12 +12,14 @@ repeated rows are packed like any others; an empty table gives no rows; further
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from telesift.llm.registry import query
 
 END = 2
 MOST_TOKENS, MOST_SEGMENTS, MOST_LOSS = 4096, 1024, 4096
-CACHED_WORDS = 500_000
+CACHED_WORDS = 700_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
 _words: dict[str, dict[str, bytes]] = {}  # per worker process and vocabulary: ids of words met before
 
@@ -44,26 +46,45 @@ class Words:
         for token, i in self.model.get_vocab().items():
             self.ends[i] = token.endswith("</w>")
 
-    def learn(self, words: set[str]) -> None:
-        """Words of letters alone are one pre-token each: they are encoded together and parted at word-end tokens."""
-        plain = [w for w in words if w.isalpha()]
-        ids = np.array(self.model.encode_batch_fast([" ".join(plain)], add_special_tokens=False)[0].ids, "<u4") if plain else np.zeros(0, "<u4")
-        stops = np.flatnonzero(self.ends[ids]) + 1
-        if len(stops) == len(plain) and (not plain or stops[-1] == len(ids)):
-            self.cache.update(zip(plain, (p.tobytes() for p in np.split(ids, stops[:-1])), strict=True) if plain else ())
-            words = words.difference(plain)
-        rest = list(words)
-        for w, e in zip(rest, self.model.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.cache[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        met = set().union(*parts)
+    def encoded(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(words, add_special_tokens=False)]
+
+    def learn(self, words: list[str]) -> None:
+        """Letters before a run of ASCII punctuation are one pre-token, the run is another; so each distinct run of letters
+        is encoded once, all of them in one call, and they are parted at word-end tokens."""
+        cores = [w.rstrip(string.punctuation) for w in words]
+        letters = sorted({c for c in cores if c.isalpha()})
+        ids = np.array(self.model.encode_batch_fast([" ".join(letters)], add_special_tokens=False)[0].ids, "<u4")
+        stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(stops) != len(letters):  # some letter is written with more than letters in lower case
+            self.cache.update(zip(words, self.encoded(words), strict=True))
+            return
+        blob = ids.tobytes()
+        known = dict(zip(letters, (blob[a:b] for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True)) if letters else {}
+        rest = list({w[len(c) :] if c in known else w for w, c in zip(words, cores, strict=True)} - {""})
+        other = dict(zip(rest, self.encoded(rest), strict=True)) | {"": b""}
+        self.cache.update((w, known[c] + other[w[len(c) :]] if c in known else other[w]) for w, c in zip(words, cores, strict=True))
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        """Ids of every text as little-endian 32-bit numbers; each distinct word of the batch is looked up once."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), "\n", " ")
+        plain = pc.invert(pc.match_substring(texts, "<|"))  # which could become a special token
+        low = pc.replace_substring_regex(pc.ascii_lower(texts), "([a-z])([.,]) ", "\\1 \\2 ")  # neither changes a token
+        parts = pc.split_pattern(pc.if_else(plain, low, texts), " ")
+        coded = parts.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
-        if new := met.difference(self.cache):
+        if new := [w for w in words if w not in self.cache]:
             self.learn(new)
-        return [b"".join(map(self.cache.__getitem__, p)) for p in parts]
+        blobs = [self.cache[w] for w in words]
+        sizes = np.fromiter(map(len, blobs), np.int64, len(blobs)) // 4
+        flat = np.frombuffer(b"".join(blobs), "<u4")
+        taken = sizes[at]
+        ends = np.cumsum(taken)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - taken), taken) + np.arange(ends[-1] if len(ends) else 0)]
+        stops = np.r_[0, ends][np.asarray(parts.offsets) - parts.offsets[0].as_py()]
+        return [ids[a:b].tobytes() for a, b in zip(stops[:-1], stops[1:], strict=True)]
 
 
 class Packer:
@@ -159,16 +180,14 @@ def pack(
 
     def run(batches):
         words, packer = Words(vocabulary), Packer(TaskContext.get().partitionId(), limits, cut)
-        for batch in portions(batches, most=8_000_000):
+        for batch in portions(batches):
             rows, items = [], []
-            for small in portions([batch], most=1_000_000):
-                col = small.to_pydict()
-                for doc, blob, bearing in zip(col["doc_id"], words.encode([t or "" for t in col["text"]]), col["bearing"], strict=True):
-                    blob += END.to_bytes(4, "little")
-                    total = len(blob) // 4
-                    *done, rest = packer.full((doc, blob, 0, total, round(total * bearing), total))
-                    rows += done
-                    items.append(rest)
+            for doc, blob, bearing in zip(batch.column("doc_id").to_pylist(), words.encode(batch.column("text")), batch.column("bearing").to_pylist(), strict=True):
+                blob += END.to_bytes(4, "little")
+                total = len(blob) // 4
+                *done, rest = packer.full((doc, blob, 0, total, round(total * bearing), total))
+                rows += done
+                items.append(rest)
             rows.extend(packer.pack(items))
             yield table(rows)
         yield table(list(packer.finish()))
