@@ -4,9 +4,9 @@ Words score positive and tags negative. The scores are log odds learned from lab
 article themselves (`article` or `main`), a sample of at most about `most_pages` of them, whose tokens inside the mark
 are content and outside are not. A word or tag counts by its context: inside such a mark, outside it on a page that has
 one, or on a page without any. Words in elements that are never content (menus, forms, scripts, adverts, comments, ...)
-score as negative as others score positive and are left out of the result. One linear scan finds the best run; it is
-widened to whole blocks. Text keeps page order: references decoded, white space inside a block one space, blocks joined
-by a line end.
+are left out of the result and score next to nothing, so that content goes on behind them. One linear scan finds the
+best run; it is widened to whole blocks. Text keeps page order: references decoded, white space inside a block one
+space, blocks joined by a line end.
 
 Defined results: a null or empty page, or one without any scoring word, has the empty text; ties go to the earlier and
 shorter run; unclosed and stray tags are mended as browsers do; repeated rows and further columns do not matter.
@@ -46,7 +46,7 @@ HINTS = frozenset(
 )
 HOLDS = frozenset("article content main post entry story body text page wrapper container".split())
 OUTER = frozenset("html body article main".split())
-MOST_PAGES, STRONGEST, WEAKEST = 2000, 2.5, 0.01
+MOST_PAGES, STRONGEST, WEAKEST, UNSEEN = 2000, 2.5, 0.01, 0.3
 DEFAULT = {"word@in": 1.0, "word@out": -1.0, "word@none": 1.0}
 
 
@@ -117,8 +117,10 @@ def tokens(page: str) -> list[tuple[str, str, bool, int]]:
                 close(depth)
             say(name)
             continue
-        if name in BLOCKS and stack and stack[-1][0] == "p":
-            close(len(stack) - 1)
+        if name in BLOCKS:  # a block ends an open paragraph and what is open inside it
+            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
+            if depth is not None and stack[depth][0] == "p":
+                close(depth)
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
         gone, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -190,9 +192,9 @@ def main_text(page: str | None, scores: dict[str, float]) -> str:
     for kind, context, gone, _ in found:
         if kind[0] == "=":
             word = scores[f"word@{context}"]
-            values.append(len(kind[1:].split()) * (-abs(word) if gone else word))
+            values.append(len(kind[1:].split()) * (-WEAKEST if gone else word))
         else:
-            values.append(scores.get(f"{kind}@{context}", -WEAKEST if context == "in" else -1.0))
+            values.append(scores.get(f"{kind}@{context}", -WEAKEST if context == "in" else -UNSEEN))
     first, last = best_run(values)
     if first == last:
         return ""
