@@ -368,23 +368,20 @@ def resample_stability(
     The fit on all rows (part 0) and the resamples advance in lock-step, so the whole
     experiment costs as many scans as one fit.
     """
-    from telesift.operators.lockstep import Model, fit_many, part_samples, spread_seeds
-
     from telesift.functions.hashing import uniform
+    from telesift.operators.lockstep import Model, fit_many, seed_many
 
     draws = [F.when(uniform(seed + 100 + i, F.col(id_col)) < frac, F.lit(i + 1)) for i in range(b)]
     parts = F.array_compact(F.array(F.lit(0), *draws))
-    rows = df.select(id_col, vec, F.explode(parts).alias("part")).persist()
+    rows = df.select(id_col, vec, F.xxhash64(F.lit(seed), id_col).alias("row_hash"), F.explode(parts).alias("part")).persist()
     try:
-        samples = part_samples(rows, 512, seed, id_col, vec)
-        models = []
-        for p, h in samples.items():
-            mask = np.ones(h.shape[1], bool)
-            models += [Model(p, mask, k, spread_seeds(h, k, np.random.default_rng([seed, p, r]))) for r in range(n_init)]
-        fit_many(rows, models, vec=vec)
+        dim = df.agg(F.max(F.size(vec))).first()[0]
+        present = [r.part for r in rows.select("part").distinct().collect()]
+        models = [Model(p, np.ones(dim, bool), k, restart=r) for p in sorted(present) for r in range(n_init)]
+        fit_many(rows, seed_many(rows, models, seed, vec=vec), vec=vec)
     finally:
         rows.unpersist()
-    best = {p: min((m for m in models if m.part == p), key=lambda m: m.cost) for p in samples}
+    best = {p: min((m for m in models if m.part == p), key=lambda m: m.cost) for p in present}
     labeled = df.select(
         id_col,
         F.inline(

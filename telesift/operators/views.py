@@ -199,6 +199,9 @@ class LatentSpace:
     def dims(self, mask: np.ndarray):
         return slice(None)
 
+    def view(self, mask: np.ndarray):
+        return mask.tobytes()
+
 
 def collapse_check(df: DataFrame, dim: int, vec: str = "h", floor: float = 0.01) -> DataFrame:
     """Mean deviation over the dimensions and the number of collapsed ones."""

@@ -356,8 +356,8 @@ def search_table(spark, sf, k: int = 2):
     return z.select("row_id", F.col("eval_fold").alias("part"), vector(SEARCH_F).alias("v"))
 
 
-def _objective(spark, sf, ks=range(2, 7), **kw):
-    obj = Se.Objective(search_table(spark, sf), SEARCH_D, n_init=2, **kw)
+def _objective(spark, sf, ks=range(2, 15), **kw):
+    obj = Se.Objective(search_table(spark, sf), SEARCH_D, **kw)
     obj.choose_k(ks)
     return obj
 
@@ -372,7 +372,7 @@ def _searched(spark, sf, strategy):
 
 @query("silhouette_profile")
 def silhouette_profile(spark, sf):
-    return Se.silhouette_profile(search_table(spark, sf), SEARCH_D, range(2, 15), n_init=2)
+    return Se.silhouette_profile(search_table(spark, sf), SEARCH_D, range(2, 15))
 
 
 @query("score_frontier")

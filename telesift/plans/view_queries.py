@@ -235,11 +235,11 @@ def latent_frontier(spark, sf):
     from telesift.operators.search import Objective
 
     table = fx.emb(spark, sf).withColumn("part", F.lit(0))
-    obj = Objective(table, fx.DIM, space=V.LatentSpace(fixed_weights(fx.DIM)), n_init=2)
+    obj = Objective(table, fx.DIM, space=V.LatentSpace(fixed_weights(fx.DIM)))
     try:
         obj.choose_k(range(2, 5))
         full = frozenset(range(fx.DIM))
-        got = obj.frontier([(0, full - {j}) for j in range(fx.DIM)], {0: full})
+        got = obj.frontier([(0, full - {j}) for j in range(fx.DIM)])
     finally:
         obj.close()
     return spark.createDataFrame([(min(full - s), float(v)) for (_, s), v in got.items()], "removed int, j double")

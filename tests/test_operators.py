@@ -125,6 +125,40 @@ def test_search_improves_strictly_and_budgets_have_their_size(spark):
         Se.search(obj, "sideways")
 
 
+def test_scores_do_not_depend_on_the_path(spark):
+    """A subset has one score, whichever subsets were scored before it and in whatever company."""
+    x, _ = blobs()
+    df = points(spark, x).withColumn("part", F.lit(0)).repartition(3)
+    s, t = frozenset({0, 1, 3}), frozenset({0, 2, 3})
+
+    def scored(*order):
+        obj = Se.Objective(df, 5)
+        try:
+            obj.choose_k(range(2, 5))
+            for group in order:
+                obj.frontier([(0, c) for c in group])
+            assert not obj.unfinished
+            return obj.k[0], obj.cache[(0, s)]
+        finally:
+            obj.close()
+
+    (k, alone), after, beside = scored([s]), scored([t], [frozenset(range(4))], [s]), scored([t, s, frozenset({0, 1})])
+    assert after[0] == beside[0] == k
+    assert np.allclose([after[1], beside[1]], alone, rtol=0, atol=1e-9)
+
+
+def test_seeds_are_rows_drawn_by_squared_distance(spark):
+    """The first start is uniform over the rows and the second goes to the far group, as its squared distances say."""
+    x = np.vstack([np.zeros((60, 2)), np.full((3, 2), 9.0)])
+    df = points(spark, x).withColumn("part", F.lit(0)).withColumn("row_hash", F.xxhash64("row_id"))
+    models = L.seed_many(df, [L.Model(0, np.ones(2, bool), 2, restart=r) for r in range(200)], 7)
+    first = np.mean([m.centers[0][0] == 9.0 for m in models])
+    assert all(sorted(m.centers[:, 0]) == [0.0, 9.0] for m in models)
+    assert abs(first - 3 / 63) < 0.06
+    again = L.seed_many(df.repartition(5), [L.Model(0, np.ones(2, bool), 2, restart=r) for r in range(200)], 7)
+    assert all((a.centers == b.centers).all() for a, b in zip(models, again))
+
+
 def test_forest_attributions_add_up(spark):
     x, lab = blobs(200, 4)
     rows = [(i, int(c), *map(float, v)) for i, (v, c) in enumerate(zip(x, lab))]
