@@ -85,6 +85,38 @@ def ln_factorial(n: Column) -> Column:
     return series - F.log(shift)
 
 
+def stirling_error(n: Column) -> Column:
+    """ln(n!) minus Stirling's formula, for n > 0."""
+    x = n.cast("double")
+    r = F.lit(1.0) / x
+    r2 = r * r
+    series = r * (F.lit(1 / 12) - r2 * (F.lit(1 / 360) - r2 * (F.lit(1 / 1260) - r2 * (F.lit(1 / 1680) - r2 / 1188))))
+    return F.when(x > 15, series).otherwise(ln_factorial(n) - (x + 0.5) * F.log(x) + x - 0.9189385332046727)
+
+
+def deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x, from the relative gap, so that nothing large cancels."""
+    gap = (x - mean) / mean
+    return mean * ((gap + 1) * F.log1p(gap) - gap)
+
+
+def log_binomial(x: Column, n: Column, p: Column) -> Column:
+    """ln of the binomial law in saddle-point form, for 0 < p < 1."""
+    x, n = x.cast("double"), n.cast("double")
+    y, q = n - x, F.lit(1.0) - p
+    inner = (
+        stirling_error(n) - stirling_error(x) - stirling_error(y) - deviance(x, n * p) - deviance(y, n * q)
+        + F.log(n / (F.lit(6.283185307179586) * x * y)) / 2
+    )
+    return F.when(x == 0, n * F.log1p(-p)).when(y == 0, n * F.log(p)).otherwise(inner)
+
+
+def log_hypergeometric(x: Column, a: Column, b: Column, t: Column) -> Column:
+    """ln P(overlap = x) of random subsets of a and b out of t elements, for 0 < b < t; no large factorials are formed."""
+    p = b.cast("double") / t
+    return log_binomial(x, a, p) + log_binomial(b - x, t - a, p) - log_binomial(b, t, p)
+
+
 def xlogx(x: Column) -> Column:
     return F.when(x > 0, x * F.log(x)).otherwise(F.lit(0.0))
 

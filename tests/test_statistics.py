@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from telesift.functions.exprs import ln_factorial
+from telesift.functions.exprs import ln_factorial, log_hypergeometric
 from telesift.operators import clusters as Cl
 from telesift.operators import evaluate as E
 from telesift.operators import stability as St
@@ -139,3 +139,13 @@ def test_best_matching_against_all_permutations():
         g = rng.integers(0, 9, (n, n)).astype(float)
         best = max(sum(g[i, p[i]] for i in range(n)) for p in itertools.permutations(range(n)))
         assert g[np.arange(n), Cl.best_matching(g)].sum() == best
+
+
+@pytest.mark.parametrize(("a", "b", "t"), [(3, 4, 10), (1, 9, 10), (400, 300, 1000), (50_000, 7_000, 100_000), (3 * 10**11, 4 * 10**11, 10**12), (5, 10**11, 10**12)])
+def test_hypergeometric_law_sums_to_one(spark, a, b, t):
+    """Also at a million million rows, where differences of log factorials would be off by a hundredth."""
+    sd = (a / t * (1 - a / t) * b * (t - b) / max(1, t - 1)) ** 0.5
+    lo, hi = max(0, a + b - t, int(a / t * b - 14 * sd - 30)), min(a, b, int(a / t * b + 14 * sd + 30))
+    step = max(1, int(sd // 32))
+    law = spark.range(lo, hi + 1, step).select(log_hypergeometric(F.col("id"), F.lit(a), F.lit(b), F.lit(t)).alias("l"))
+    assert law.agg(F.sum(F.exp("l")) * step).first()[0] == pytest.approx(1.0, abs=1e-9)
