@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from telesift.functions.exprs import null_safe_join
+
 
 def confusion(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
     """Cell counts (keys, y, p, n): the only pass over the predictions."""
@@ -36,12 +38,20 @@ def _scores(counts: DataFrame) -> DataFrame:
     )
 
 
-def per_class_f1(conf: DataFrame, keys: list[str], classes: str = "any") -> DataFrame:
-    """F1 per class: over classes in y or p ("any"), or only those in y ("true")."""
-    s = _scores(class_counts(conf, keys))
-    if classes == "true":
-        s = s.filter("true_n > 0")
-    return s.select(*keys, "cls", "f1", F.col("true_n").alias("support"))
+def per_class_f1(conf: DataFrame, keys: list[str], classes: DataFrame | None = None) -> DataFrame:
+    """F1 per class. `classes` (keys, cls) names the classes of a run, those of its training and test labels: a class
+    without test rows or predictions appears with F1 0. Without it, the classes in y or p appear."""
+    s = _scores(class_counts(conf, keys)).select(*keys, "cls", "f1", F.col("true_n").alias("support"))
+    if classes is None:
+        return s
+    all_ = null_safe_join(classes.select(*keys, "cls").distinct(), s, [*keys, "cls"], "left")
+    return all_.select(*keys, "cls", F.coalesce("f1", F.lit(0.0)).alias("f1"), F.coalesce("support", F.lit(0)).cast("bigint").alias("support"))
+
+
+def fold_classes(labels: DataFrame, fold: str = "fold", y: str = "y") -> DataFrame:
+    """(fold, cls): the classes of the training and test rows of every fold, that is of all rows."""
+    every = labels.agg(F.sort_array(F.collect_set(y)).alias("c")).scalar()
+    return labels.select(fold).distinct().withColumn("_all", every).select(fold, F.explode("_all").alias("cls"))
 
 
 def metrics(conf: DataFrame, keys: list[str]) -> DataFrame:

@@ -72,14 +72,16 @@ def jaccard(a: Column, b: Column) -> Column:
 def jaccard_pairs(sel: DataFrame, d: int, by: list[str] = ()) -> DataFrame:
     """Jaccard similarity of the selected and of the removed sets for each pair of runs.
 
-    One row per run enters the join, so its size is set by the experiment plan, not by the data.
+    The runs of a group are gathered in one row (their number is set by the experiment plan, not by the data) and paired there.
     """
     everything = F.sequence(F.lit(0), F.lit(d - 1))
     runs = sel.groupBy(*by, "run_id", "seed").agg(F.sort_array(F.collect_set("pos")).alias("s"))
-    runs = runs.withColumn("rest", F.array_except(everything, "s")).withColumn("_one", F.lit(1))
-    a = runs.select(*by, "_one", *[F.col(c).alias(f"{c}_a") for c in ("run_id", "seed", "s", "rest")])
-    b = runs.select(*by, "_one", *[F.col(c).alias(f"{c}_b") for c in ("run_id", "seed", "s", "rest")])
-    return a.join(b, [*by, "_one"]).filter("run_id_a < run_id_b").select(
+    runs = runs.withColumn("rest", F.array_except(everything, "s"))
+    group = runs.groupBy(*by).agg(F.collect_list(F.struct("run_id", "seed", "s", "rest")).alias("_all"))
+    first = group.select(*by, "_all", F.explode("_all").alias("_a"))
+    pairs = first.select(*by, "_a", F.explode(F.filter("_all", lambda x: x["run_id"] > F.col("_a.run_id"))).alias("_b"))
+    sides = [F.col(f"_{x}.{c}").alias(f"{c}_{x}") for x in ("a", "b") for c in ("run_id", "seed", "s", "rest")]
+    return pairs.select(*by, *sides).select(
         *by,
         "run_id_a",
         "run_id_b",

@@ -44,9 +44,13 @@ def metrics(spark, sf):
     return E.metrics(_conf(spark, sf), ["fold"])
 
 
-@query("per_class_f1", f"WITH {fx.PREDICTIONS}, {COUNTS} SELECT fold, c AS cls, {r('f1')} AS f1, CAST(t AS BIGINT) AS support FROM sc")
+@query(
+    "per_class_f1",
+    f"""WITH {fx.PREDICTIONS}, {COUNTS}, every AS (SELECT f.fold, y.y AS c FROM (SELECT DISTINCT fold FROM predictions) f CROSS JOIN (SELECT DISTINCT y FROM predictions) y)
+    SELECT fold, c AS cls, {r('coalesce(f1, 0.0)')} AS f1, CAST(coalesce(t, 0) AS BIGINT) AS support FROM every LEFT JOIN sc USING (fold, c)""",
+)
 def per_class_f1(spark, sf):
-    return E.per_class_f1(_conf(spark, sf), ["fold"])
+    return E.per_class_f1(_conf(spark, sf), ["fold"], E.fold_classes(fx.predictions(spark, sf)))
 
 
 FID = f"""fid AS (SELECT fold, CAST(sum(t) AS BIGINT) AS n, sum(tp) / sum(t) AS accuracy, avg(re) AS balanced_accuracy, avg(f1) AS macro_f1, count(*) AS n_classes FROM sc WHERE t > 0 GROUP BY 1)"""

@@ -127,7 +127,7 @@ def protocol_table(spark, sf):
 
 CLASSES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 CLASS_F1 = """cf AS (SELECT c.fold, c.cls, 2.0 * count(*) FILTER (WHERE y = cls AND p = cls) / greatest(1, count(*) FILTER (WHERE y = cls) + count(*) FILTER (WHERE p = cls)) AS f1
-    FROM (SELECT DISTINCT fold, y AS cls FROM predictions) c JOIN predictions USING (fold) GROUP BY 1, 2)"""
+    FROM (SELECT f.fold, y.y AS cls FROM (SELECT DISTINCT fold FROM predictions) f CROSS JOIN (SELECT DISTINCT y FROM predictions) y) c JOIN predictions USING (fold) GROUP BY 1, 2)"""
 
 
 @query(
@@ -136,7 +136,8 @@ CLASS_F1 = """cf AS (SELECT c.fold, c.cls, 2.0 * count(*) FILTER (WHERE y = cls
     SELECT 'sample_k' || (fold % 2) AS protocol, {', '.join(f"{r(f'avg(f1) FILTER (WHERE cls = {chr(39)}{c}{chr(39)})')} AS {chr(34)}{c}{chr(34)}" for c in CLASSES)} FROM cf WHERE fold IN (SELECT fold FROM ok) GROUP BY 1""",
 )
 def per_class_table(spark, sf):
-    scores = E.per_class_f1(E.confusion(fx.predictions(spark, sf), ["fold"]), ["fold"], classes="true")
+    rows = fx.predictions(spark, sf)
+    scores = E.per_class_f1(E.confusion(rows, ["fold"]), ["fold"], E.fold_classes(rows))
     runs = scores.groupBy("fold").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("cls", "f1"))), lambda s: s["f1"]).alias("per_class_f1")
     ).withColumn("protocol", F.concat(F.lit("sample_k"), F.col("fold") % 2))

@@ -27,9 +27,11 @@ def local_session(app: str = "telesift", cpus: int = 8) -> SparkSession:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster; a private one only where none is set."""
+    """Shared folder named by the cluster. A private one is made for a local session without it; a cluster must name one."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="telesift-")
         spark.conf.set(CHECKPOINT_CONF, root)
     return root
