@@ -7,7 +7,8 @@ shows one filled cell more than this bound must share a cell with every similar
 sketch) loses no pair. Sizes of similar sets differ by 1 / t at most, so a set shows its cells in its own band and in
 the next. Shingles that a sample finds in many texts are kept out of the cells (they count as one cell that is never
 shown), which keeps common passages from making large groups; a set with too few other cells also shows cells over all
-its shingles. All candidate pairs are verified on the shingles themselves.
+its shingles. Every set also has one parity sketch of 1024 bits; pairs whose sketches differ in more bits than the sets may
+differ are dropped inside the joins, and all others are verified on the shingles themselves.
 
 Groups of equal cells are not expanded into all pairs: their members are paired with the first member, the links found
 are joined to components, and only members of groups that still span several components are paired across components.
@@ -22,6 +23,8 @@ repeated rows of the kept one stay with it; further columns are ignored (`compon
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +39,8 @@ from telesift.llm.registry import query
 SHINGLE, SIMILARITY = 5, 80  # words; hundredths
 SAMPLED, COMMON = 4000, 0.004  # texts that are looked at for common shingles; share of them from which one is common
 PIECE = 4_000_000
+BITS = 1024
+LONGS = [f"bits{i}" for i in range(BITS // 64)]
 TURNS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -88,6 +93,12 @@ def class_id(hashes: np.ndarray) -> int:
     return int(mix(s + np.uint64(len(hashes)))[0] >> np.uint64(1))
 
 
+def bit_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity of the members by bit position; two sketches differ in as many bits at most as the sets do in members."""
+    odd = np.bincount((mix(hashes ^ TURNS[6]) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def band_of(n: int, similarity: int) -> int:
     """Bands are [edge(k), edge(k + 1)) with edges that grow by 1 / similarity."""
     k = max(0, int(np.log(n) / np.log(100 / similarity)))
@@ -132,19 +143,20 @@ def sketches(hashes: np.ndarray, common: np.ndarray, similarity: int = SIMILARIT
 
 
 def sets_info(docs: DataFrame, n: int, rate: float) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, class, sampled): sampled has the shingles of a hash draw of the classes."""
+    """(doc_id, text_hash, n_shingles, class, sampled, bits): sampled has the shingles of a hash draw of the classes."""
 
     def run(batches):
         for batch in portions(batches):
-            sizes, ids, some = [], [], []
+            sizes, ids, some, bits = [], [], [], []
             for s in shingle_sets(batch.column("text"), n):
                 sizes.append(len(s))
                 ids.append(class_id(s))
+                bits.append(bit_sketch(s))
                 some.append(s.view(np.int64) if ids[-1] % 1_000_003 < rate * 1_000_003 else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(some, pa.list_(pa.int64()))], names=["doc_id", "text_hash", "n_shingles", "class", "sampled"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(some, pa.list_(pa.int64())), *map(pa.array, np.array(bits, np.int64).reshape(-1, len(LONGS)).T.copy())], names=["doc_id", "text_hash", "n_shingles", "class", "sampled", *LONGS])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, class long, sampled array<long>")
+    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, class long, sampled array<long>, " + ", ".join(f"{b} long" for b in LONGS))
 
 
 def shown_cells(docs: DataFrame, common: np.ndarray, n: int, similarity: int) -> DataFrame:
@@ -225,7 +237,7 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect every pair of similar classes."""
-    classes = info.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    classes = info.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), *[F.max(b).alias(b) for b in LONGS])
     classes = staged(classes, "near-classes")
     found = info.where("sampled is not null").select("class", "sampled").dropDuplicates(["class"])
     drawn = found.count()
@@ -238,13 +250,13 @@ def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int =
     live = shown.withColumn("first", F.min("class").over(group)).withColumn("last", F.max("class").over(group)).where("first < last")
     live = staged(live.select("sketch", "class", "first").distinct(), "near-cells")
 
-    sizes = classes.select("class", "size")
-    alike = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * similarity
+    def side(x: str) -> DataFrame:
+        return classes.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), *[F.col(b).alias(f"{b}_{x}") for b in LONGS])
 
-    def close(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b), once each, whose sizes allow the similarity."""
-        s = sizes.select(F.col("class").alias("a"), F.col("size").alias("size_a")), sizes.select(F.col("class").alias("b"), F.col("size").alias("size_b"))
-        return pairs.distinct().join(s[0], "a").join(s[1], "b").where(alike).select("a", "b")
+    # the sizes allow the similarity, and so do the bits in which the sketches differ
+    total = F.col("size_a") + F.col("size_b")
+    alike = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * similarity
+    alike = alike & (reduce(add, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in LONGS]) * (100 + similarity) <= total * (100 - similarity))
 
     def check(pairs: DataFrame) -> DataFrame:
         needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("doc_id", "class")
@@ -254,15 +266,17 @@ def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int =
         released(texts, needed)
         return out
 
-    tested = staged(close(live.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b"))), "near-pairs")
+    stars = live.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
+    tested = staged(stars.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "near-pairs")
     linked = check(tested)
     label = connected(linked)
     named = live.select("sketch", "class").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
     many = named.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sketch")
     mixed = staged(named.join(many, "sketch"), "near-mixed")
-    left, right = mixed.select("sketch", F.col("class").alias("a"), F.col("label").alias("la")), mixed.select("sketch", F.col("class").alias("b"), F.col("label").alias("lb"))
-    across = left.join(right, "sketch").where("a < b and la <> lb").select("a", "b")
-    rest = staged(close(across).join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    left = mixed.select("sketch", F.col("class").alias("a"), F.col("label").alias("la")).join(side("a"), "a")
+    right = mixed.select("sketch", F.col("class").alias("b"), F.col("label").alias("lb")).join(side("b"), "b")
+    across = left.join(right, (left["sketch"] == right["sketch"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b")
+    rest = staged(across.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
     return linked.union(check(rest))
 
 
