@@ -91,7 +91,7 @@ def sample_p(df: DataFrame, p: float, seed=42, id_col: str = "row_id") -> DataFr
 
 def sample_stratified(df: DataFrame, by: str, n: int, seed=42, id_col: str = "row_id") -> DataFrame:
     """Proportional allocation max(1, floor(share * n)); the largest class takes the remainder."""
-    counts = df.groupBy(by).agg(F.count(F.lit(1)).alias("_c"))
+    counts = stage(df.groupBy(by).agg(F.count(F.lit(1)).alias("_c")), "class-counts")  # read five times below
     totals = counts.agg(F.sum("_c").alias("t")).scalar()
     alloc = counts.withColumn("_t", totals).withColumn(
         "_a", F.greatest(F.lit(1), F.floor(F.col("_c") / F.col("_t") * n))

@@ -23,9 +23,9 @@ def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFram
     return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
 
 
-def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sampling: float = 1.0) -> DataFrame:
-    """Wide CSV with a header; types are inferred unless a schema is given."""
-    reader = spark.read.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
+def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, sampling: float = 1.0, mode: str = "PERMISSIVE") -> DataFrame:
+    """Wide CSV with a header; types are inferred unless a schema is given. ``mode`` is Spark's for malformed cells."""
+    reader = spark.read.option("header", True).option("mode", mode).option("timestampNTZFormat", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]")
     if schema is not None:
         return reader.schema(schema).csv(path)
     return reader.option("inferSchema", True).option("samplingRatio", sampling).csv(path)
@@ -34,13 +34,13 @@ def scan_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
 def scan_pruned(spark: SparkSession, path: str, deny: list[str], meta: list[str], sampling: float = 0.1) -> DataFrame:
     """Infer types from a sample, then read only the numeric features and the listed meta columns.
 
-    Features are read as doubles, so a value the sample did not foresee cannot be lost.
+    Features are read as doubles; text that the sample did not foresee in one of them ends the read with an error.
     """
     sniffed = scan_csv(spark, path, sampling=sampling)
     features = numeric_columns(sniffed, [*deny, *meta])
     wide = StructType.fromJson(sniffed.schema.jsonValue())
     fields = ", ".join(f"`{f.name}` {'double' if f.name in features else 'string'}" for f in wide.fields)
-    return scan_csv(spark, path, schema=fields).select(*meta, *features)
+    return scan_csv(spark, path, schema=fields, mode="FAILFAST").select(*meta, *features)
 
 
 def materialize(ft: FeatureTable, path: str) -> FeatureTable:
