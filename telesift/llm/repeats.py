@@ -7,8 +7,9 @@ instead of all suffixes, about one in 128 positions:
 
 * samples of equal key and equal run: every window of the run repeats; nothing else has to be read;
 * samples of equal key, but unlike runs (near the ends of repeated passages): the order of the windows is induced from
-  their samples: for one sample of each kind of run its windows are told apart by their hashes, and those that two
-  samples have repeat;
+  their samples: one run of each kind is cut into parts of `PART` windows, counted from the sample, whose key are the
+  bytes that all windows of the part hold and whose run are those that they cover; the same three cases apply, and the
+  parts that are still undecided fall into single windows;
 * samples whose key occurs once: none of their windows repeats.
 
 Groups are only counted and joined back, never gathered; texts are read where they stand, and only those that repeats
@@ -33,16 +34,18 @@ from telesift.llm.common import portions, read, released, staged
 from telesift.llm.registry import query
 
 LENGTH, SPAN, GRAM = 400, 256, 8  # bytes: repeated string, positions among which its sample is chosen, what is hashed for that
+PART = 32  # windows of a part of a run
 PIECE = 2_000_000
 PLACE = np.uint64((1 << 24) - 1)
+RUN = ["first", "windows", "ahead", "key", "run"]
 
 
 def samples(data: np.ndarray, offsets: np.ndarray, length: int, span: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, key, run) of the samples of all windows of the texts in one buffer."""
+    """(text, first window, windows, sample after first, key, run) of the samples of all windows of the texts in one buffer."""
     none = np.zeros(0, np.int64)
     count = len(data) - length + 1
     if count < 1:
-        return none, none, none, none, none
+        return none, none, none, none, none, none
     grams = np.ndarray((len(data) - GRAM + 1,), "<u8", np.ascontiguousarray(data), strides=(1,)) * np.uint64(0x9E3779B97F4A7C15)
     grams ^= grams >> np.uint64(29)
     grams *= np.uint64(0xBF58476D1CE4E5B9)
@@ -64,7 +67,7 @@ def samples(data: np.ndarray, offsets: np.ndarray, length: int, span: int) -> tu
     rolling = Rolling(data)
     key = rolling.ranges(at, at + (length - span))
     run = rolling.ranges(first, after - 1 + length) ^ mix((at - first).astype(np.uint64) + np.uint64(1))
-    return text, first - offsets[text], after - first, key.view(np.int64), run.view(np.int64)
+    return text, first - offsets[text], after - first, at - first, key.view(np.int64), run.view(np.int64)
 
 
 def pieces(column: pa.Array, length: int):
@@ -79,42 +82,73 @@ def pieces(column: pa.Array, length: int):
 
 
 def sampled(docs: DataFrame, length: int, span: int) -> DataFrame:
-    """(doc_id, text_hash, first, windows, key, run) of all samples."""
+    """(doc_id, text_hash, first, windows, ahead, key, run) of all samples."""
 
     def run(batches):
         for batch in portions(batches, most=PIECE):
             for starts, data, offsets in pieces(batch.column("text"), length):
-                text, first, windows, key, run = samples(data, offsets, length, span)
+                text, first, windows, ahead, key, run = samples(data, offsets, length, span)
                 at = pa.array(text)
-                arrays = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(first + starts[text]), pa.array(windows, pa.int32()), pa.array(key), pa.array(run)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", "first", "windows", "key", "run"])
+                arrays = [batch.column("doc_id").take(at), batch.column("text_hash").take(at), pa.array(first + starts[text]), pa.array(windows, pa.int32()), pa.array(ahead, pa.int32()), pa.array(key), pa.array(run)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "text_hash", *RUN])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, first long, windows int, key long, run long")
+    return docs.mapInArrow(run, run_schema(docs))
 
 
-def induced(rows: DataFrame, length: int) -> DataFrame:
-    """(key, window, doc_id, text_hash, first): the hashes of single windows; rows have text and runs (first, windows, key)."""
+def run_schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, first long, windows int, ahead int, key long, run long"
+
+
+def parts_of(first: np.ndarray, windows: np.ndarray, ahead: np.ndarray, key: np.ndarray, rolling: Rolling, length: int, part: int) -> tuple[np.ndarray, ...]:
+    """(first, windows, ahead, key, run) of the parts of runs of windows, counted from their samples."""
+    low = -ahead // part  # numbers of the first and last part
+    count = (windows - 1 - ahead) // part - low + 1
+    own = np.repeat(np.arange(len(first)), count)
+    number = low[own] + np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+    sample = (first + ahead)[own]
+    start = np.maximum(first[own], sample + number * part)
+    stop = np.minimum((first + windows)[own], sample + (number + 1) * part)
+    held = rolling.ranges(sample + (number + 1) * part - 1, sample + number * part + length)
+    covered = rolling.ranges(start, stop - 1 + length)
+    inner = mix(held + mix(key[own].view(np.uint64) ^ (number + (1 << 32)).astype(np.uint64)))
+    return start, stop - start, sample + number * part - start, inner, covered ^ mix((start - sample - number * part).astype(np.uint64) + np.uint64(1))
+
+
+def induced(rows: DataFrame, length: int, part: int) -> DataFrame:
+    """The parts (or, for part = 1, the single windows) of runs; rows have text and runs (first, windows, ahead, key)."""
 
     def run(batches):
         for batch in portions(batches, most=PIECE):
             for i in range(batch.num_rows):
                 data, _ = text_bytes(batch.column("text").slice(i, 1))
+                asked = [np.array([r[c] for r in batch.column("runs")[i].as_py()], np.int64) for c in ("first", "windows", "ahead", "key")]
                 for at in range(0, len(data), PIECE):
-                    rolling = Rolling(data[at : at + PIECE + length - 1])
-                    asked = [(r["first"], r["windows"], r["key"]) for r in batch.column("runs")[i].as_py() if at <= r["first"] < at + PIECE]
-                    if not asked:
+                    here = (asked[0] >= at) & (asked[0] < at + PIECE)
+                    if not here.any():
                         continue
-                    first = np.concatenate([np.arange(f, f + w) for f, w, _ in asked])
-                    key = np.repeat([k for _, _, k in asked], [w for _, w, _ in asked])
-                    window = rolling.ranges(first - at, first - at + length)
-                    n = pa.array(np.zeros(len(first), np.int32))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(window.view(np.int64)), batch.column("doc_id").slice(i, 1).take(n), batch.column("text_hash").slice(i, 1).take(n), pa.array(first)],
-                        names=["key", "window", "doc_id", "text_hash", "first"],
-                    )
+                    first, windows, ahead, key = (a[here] for a in asked)
+                    rolling = Rolling(data[at : at + PIECE + 2 * length])
+                    start, count, ahead, inner, covered = parts_of(first - at, windows, ahead, key, rolling, length, part)
+                    n = pa.array(np.zeros(len(start), np.int32))
+                    arrays = [batch.column("doc_id").slice(i, 1).take(n), batch.column("text_hash").slice(i, 1).take(n), pa.array(start + at), pa.array(count, pa.int32()), pa.array(ahead, pa.int32())]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array(inner.view(np.int64)), pa.array(covered.view(np.int64))], names=["doc_id", "text_hash", *RUN])
+
+    return rows.select("doc_id", "text_hash", "text", "runs").mapInArrow(run, run_schema(rows))
 
-    kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.select("doc_id", "text_hash", "text", "runs").mapInArrow(run, f"key long, window long, doc_id {kind}, text_hash long, first long")
+
+def decided(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of written runs: those all of whose windows repeat, and one run of each kind that is still undecided, by row."""
+    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1")
+    again = staged(found.join(keys.select("key", (F.col("low") < F.col("high")).alias("unlike")), "key"), "repeat-again")
+    released(found)
+    kinds = again.groupBy("key", "run").agg(F.count("*").alias("n"), F.first("unlike").alias("unlike"), F.min(F.struct("doc_id", "text_hash", "first", "windows", "ahead")).alias("one"))
+    kinds = staged(kinds, "repeat-kinds")
+    whole = again.join(kinds.where("n > 1").select("key", "run"), ["key", "run"]).select("doc_id", "text_hash", "first", "windows")
+    whole = staged(whole, "repeat-whole")
+    open_ = kinds.where("unlike").select("one.*", "key").groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    open_ = staged(open_.agg(F.collect_list(F.struct("first", "windows", "ahead", "key")).alias("runs")), "repeat-open")
+    released(again, kinds)
+    return whole, open_
 
 
 def touched(docs: DataFrame, bits: np.ndarray) -> DataFrame:
@@ -176,24 +210,17 @@ def same_row(left: str = "doc_id", right: str = "_id") -> Column:
 def repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans): spans are the removed byte ranges of every document."""
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    found = staged(sampled(docs, length, span), "repeat-samples")
-    keys = found.groupBy("key").agg(F.count("*").alias("n"), F.min("run").alias("low"), F.max("run").alias("high")).where("n > 1")
-    again = staged(found.join(keys.select("key", (F.col("low") < F.col("high")).alias("unlike")), "key"), "repeat-again")
-    released(found)
-    kinds = again.groupBy("key", "run").agg(F.count("*").alias("n"), F.first("unlike").alias("unlike"), F.min(F.struct("doc_id", "text_hash", "first", "windows")).alias("one"))
-    kinds = staged(kinds, "repeat-kinds")
-    whole = again.join(kinds.where("n > 1").select("key", "run"), ["key", "run"]).select("doc_id", "text_hash", "first", "windows")
-
-    asked = kinds.where("unlike").select("one.*", "key")
-    asked = staged(asked.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_list(F.struct("first", "windows", "key")).alias("runs")), "repeat-asked")
-    near = touched(docs, bitmap(asked, F.col("_id")))
-    single = staged(induced(near.join(asked, same_row()), length), "repeat-windows")
-    twice = single.groupBy("key", "window").agg(F.count("*").alias("n")).where("n > 1").select("key", "window")
-    ends = single.join(twice, ["key", "window"]).select("doc_id", "text_hash", "first", F.lit(1).alias("windows"))
-
-    spans = whole.union(ends).groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    whole, undecided = decided(staged(sampled(docs, length, span), "repeat-samples"))
+    repeated, done = whole, [whole]
+    for part in (PART, 1):
+        near = touched(docs, bitmap(undecided, F.col("_id")))
+        found = staged(induced(near.join(undecided, same_row()), length, part), "repeat-parts")
+        released(undecided)
+        whole, undecided = decided(found)
+        repeated, done = repeated.union(whole), [*done, whole]
+    spans = repeated.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
     spans = staged(spans.agg(F.collect_set(F.struct("first", (F.col("first") + F.col("windows") - 1 + length).alias("end"))).alias("spans")), "repeat-spans")
-    released(again, kinds, asked, single)
+    released(undecided, *done)
     bits = bitmap(spans, F.col("_id"))
     moved = touched(docs, bits).join(spans, same_row(), "left")
 
