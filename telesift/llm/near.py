@@ -10,8 +10,9 @@ shown), which keeps common passages from making large groups; a set with too few
 its shingles. Every set also has one parity sketch of 1024 bits; pairs whose sketches differ in more bits than the sets may
 differ are dropped inside the joins, and all others are verified on the shingles themselves.
 
-Groups of equal cells are not expanded into all pairs: their members are paired with the first member, the links found
-are joined to components, and only members of groups that still span several components are paired across components.
+Groups of equal cells are not expanded into all pairs: their members are paired with the first member, then with the
+next one of another component in two orders, the links found are joined to components each time, and only members of
+groups that still span several components are paired across components.
 Sets that are equal are one class from the start; sketches move once per class and task.
 
 Defined results: texts that are null or have no word have an empty set, no link and their own id as component; with
@@ -266,17 +267,35 @@ def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int =
         released(texts, needed)
         return out
 
+    def spanning(label: DataFrame) -> DataFrame:
+        """The members of the groups of equal cells that span several components."""
+        named = live.select("sketch", "class").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+        many = named.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sketch")
+        return staged(named.join(many, "sketch"), "near-mixed")
+
+    def chained(mixed: DataFrame) -> DataFrame:
+        """Each member with the next one of another component, in two orders."""
+        out = None
+        for order in ("class", F.xxhash64("class", "sketch")):
+            w = W.partitionBy("sketch").orderBy(order)
+            next_ = mixed.select(F.col("class").alias("c"), F.lead("class").over(w).alias("d"), "label", F.lead("label").over(w).alias("other")).where("label <> other")
+            pairs = next_.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b"))
+            out = pairs if out is None else out.union(pairs)
+        return out.distinct()
+
     stars = live.where("class > first").select(F.col("first").alias("a"), F.col("class").alias("b")).distinct()
     tested = staged(stars.join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b"), "near-pairs")
     linked = check(tested)
-    label = connected(linked)
-    named = live.select("sketch", "class").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    many = named.groupBy("sketch").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("sketch")
-    mixed = staged(named.join(many, "sketch"), "near-mixed")
+    mixed = spanning(connected(linked))
+    more = chained(mixed).join(side("a"), "a").join(side("b"), "b").where(alike).select("a", "b")
+    more = staged(more.join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    linked = staged(linked.union(check(more)), "near-links")
+    released(mixed)
+    mixed = spanning(connected(linked))
     left = mixed.select("sketch", F.col("class").alias("a"), F.col("label").alias("la")).join(side("a"), "a")
     right = mixed.select("sketch", F.col("class").alias("b"), F.col("label").alias("lb")).join(side("b"), "b")
     across = left.join(right, (left["sketch"] == right["sketch"]) & (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & alike).select("a", "b")
-    rest = staged(across.distinct().join(tested, ["a", "b"], "left_anti"), "near-pairs")
+    rest = staged(across.distinct().join(tested.union(more), ["a", "b"], "left_anti"), "near-pairs")
     return linked.union(check(rest))
 
 
