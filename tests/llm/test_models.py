@@ -114,6 +114,25 @@ def test_planted_toxicity(spark):
     assert kept == {r.doc_id for r in out if not r.predicted}
 
 
+def test_rare_and_few_toxic_words_are_terms(spark):
+    """Every insult is in three labelled texts only, and there are fewer labelled texts than any count or chi-squared bound could ask for."""
+    rng = np.random.default_rng(8)
+    stock = [f"wort{chr(97 + i % 26)}{chr(97 + i // 26)}en" for i in range(40)]
+    bad = ["qumbolt", "zorfgranz", "plixnorr", "drevskuhl", "hjafnyst"]
+    rows, labels = [], []
+    for i in range(60):
+        toxic = int(i % 4 == 0)
+        rows.append((i, " ".join([*rng.choice(stock, 8), *([bad[(i // 4) % 5]] * 3 if toxic else [])])))
+        labels.append((i, toxic))
+    t, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    out = toxicity.toxicity(t, y).collect()
+    assert all(r.evidence for r in out)
+    assert sum(r.predicted != int(r.doc_id % 4 == 0) for r in out) <= 2
+    examples, _ = toxicity.sample_examples(t, y)
+    features, tells = toxicity.select_features(examples)
+    assert set(features) == set().union(*(toxicity.grams(toxicity.plain(x)) for _, x in rows)) and (tells > 0).all()
+
+
 def test_toxicity_of_odd_rows(spark, sf, odd, empty):
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic").union(spark.createDataFrame([(None, 1), (1, None), (3, 1), (3, 0)], "doc_id long, toxic int"))
     out = toxicity.toxicity(odd, labels).collect()
