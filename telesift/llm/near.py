@@ -183,19 +183,20 @@ def shown_cells(docs: DataFrame, common: np.ndarray, n: int, similarity: int) ->
 
 
 def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(class, text) of one document at least of each wanted class (doc_id, class); texts of others mostly stay where they are."""
-    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("doc_id")))
+    """(class, text) of the wanted rows (doc_id, text_hash, class), copies included; texts of others mostly stay where they are."""
+    bits = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, F.xxhash64("doc_id", "text_hash")))
 
     def run(batches):
         for batch in batches:
             there = maybe_in(bits.value, batch.column("h").to_numpy())
             if there.any():
-                yield batch.filter(pa.array(there)).select(["doc_id", "text"])
+                yield batch.filter(pa.array(there)).select(["doc_id", "text_hash", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    near = docs.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).mapInArrow(run, f"doc_id {kind}, text string")
-    w = wanted.select(F.col("doc_id").alias("_id"), "class")
-    return near.join(w, F.col("doc_id").eqNullSafe(F.col("_id"))).select("class", "text")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").select("*", F.xxhash64(F.xxhash64("doc_id", "text_hash")).alias("h"))
+    near = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, text string")
+    w = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class")
+    return near.join(w, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("class", "text")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> DataFrame:
@@ -238,7 +239,7 @@ def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
 
 def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """Verified links (a, b) between classes, enough to connect every pair of similar classes."""
-    classes = info.where("n_shingles > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"), *[F.max(b).alias(b) for b in LONGS])
+    classes = info.where("n_shingles > 0").groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("row"), F.max("n_shingles").alias("size"), *[F.max(b).alias(b) for b in LONGS])
     classes = staged(classes, "near-classes")
     found = info.where("sampled is not null").select("class", "sampled").dropDuplicates(["class"])
     drawn = found.count()
@@ -260,7 +261,7 @@ def links(docs: DataFrame, info: DataFrame, n: int = SHINGLE, similarity: int =
     alike = alike & (reduce(add, [F.bit_count(F.col(f"{b}_a").bitwiseXOR(F.col(f"{b}_b"))) for b in LONGS]) * (100 + similarity) <= total * (100 - similarity))
 
     def check(pairs: DataFrame) -> DataFrame:
-        needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("doc_id", "class")
+        needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct().join(classes, "class").select("row.doc_id", "row.text_hash", "class")
         needed = staged(needed, "near-needed")
         texts = staged(bodies(docs, needed).dropDuplicates(["class"]), "near-texts")
         out = staged(verified(pairs, texts, n, similarity), "near-links")

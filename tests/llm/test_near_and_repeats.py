@@ -6,6 +6,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from telesift.llm import near, repeats
@@ -58,6 +59,26 @@ def test_odd_rows(odd, empty):
     assert not [1 for i, a in enumerate(words) for b in words[:i] if a.doc_id != b.doc_id and 100 * len(shingles(a.text) & shingles(b.text)) >= 80 * len(shingles(a.text) | shingles(b.text))]
 
 
+def test_near_copies_among_null_and_repeated_ids(spark):
+    """Rows that share an id, or have none, and differ in text: each stands for its own text."""
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(60 + g)]
+        for j in range(3):
+            text = " ".join([*base, *[f"more{j}"] * j])
+            rows.append((None if g % 2 else 7 + j, text))
+        if g % 4 == 1:
+            rows.append((100 + g, " ".join([*base, "last"])))
+    rows += [rows[3]] * 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_components(df)
+    kept = [shingles(r.text) for r in near.kept_documents(df.dropDuplicates()).collect()]
+    assert len(kept) == 12
+    sf = df.select("doc_id", "text")
+    wanted = sf.select("doc_id", F.xxhash64("text").alias("text_hash"), F.xxhash64("text").alias("class")).distinct()
+    assert near.bodies(sf, wanted).count() == len(rows)
+
+
 def test_every_pair_at_the_threshold_is_found(spark):
     """Sets around similarity 0.8 of many sizes, a large group of near copies, and a passage that all texts share."""
     rng, rows = random.Random(5), []
