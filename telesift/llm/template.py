@@ -104,6 +104,12 @@ def _number(v) -> int:
     return v
 
 
+def _in(a, b) -> bool:
+    if isinstance(b, (list, tuple, dict)) or (isinstance(a, str) and isinstance(b, str)):
+        return a in b
+    raise TemplateError("in looks into texts, lists and mappings")
+
+
 OPERATORS: dict[str, Callable] = {
     "==": lambda a, b: a == b,
     "!=": lambda a, b: a != b,
@@ -111,8 +117,8 @@ OPERATORS: dict[str, Callable] = {
     ">": lambda a, b: _number(a) > _number(b),
     "<=": lambda a, b: _number(a) <= _number(b),
     ">=": lambda a, b: _number(a) >= _number(b),
-    "in": lambda a, b: a in b,
-    "not in": lambda a, b: a not in b,
+    "in": lambda a, b: _in(a, b),
+    "not in": lambda a, b: not _in(a, b),
     "+": lambda a, b: a + b if isinstance(a, str) and isinstance(b, str) else _number(a) + _number(b),
     "-": lambda a, b: _number(a) - _number(b),
     "%": lambda a, b: _number(a) % _number(b),
@@ -332,6 +338,8 @@ def fold(node, known: dict, filters: dict[str, Callable]):
         return node
     args = tuple(fold(a, known, filters) for a in node.args)
     node = replace(node, args=args)
+    if node.op not in ("if", "and", "or") and node.op not in filters:
+        raise TemplateError(f"unknown filter {node.op[1:]}")
     if node.op in ("if", "and", "or") and isinstance(args[0], Const):
         if node.op == "if":
             return args[1] if args[0].value else args[2]
@@ -433,7 +441,7 @@ class Template:
         if len(loops) != 1:
             raise TemplateError("a template has one loop over messages at its top level")
         loop = self.tree[loops[0]]
-        outside = {"messages"}  # only its length, see _statement
+        outside = {"messages", *self.parameters}  # of messages only the length, see _value; parameters that a block sets are names
         before, after = self.tree[: loops[0]], self.tree[loops[0] + 1 :]
         self.message = loop.name
         self.opening = self._block(before, set(outside))
@@ -466,8 +474,6 @@ class Template:
             return lambda env: args[0](env) and args[1](env)
         if node.op == "or":
             return lambda env: args[0](env) or args[1](env)
-        if node.op not in self.filters:
-            raise TemplateError(f"unknown filter {node.op[1:]}")
         fn = self.filters[node.op]
         if len(args) == 1:
             (one,) = args
@@ -531,7 +537,7 @@ class Template:
 
     def turn(self, message: dict, index: int, count: int) -> Output:
         """One message of a conversation of `count`, with the opening before the first and the closing after the last."""
-        out, env = Output(), {"messages": count}
+        out, env = Output(), {**self.parameters, "messages": count}
         start = Output() if index else out
         self.opening(env, start)
         self.body({**env, self.message: message, "loop": position(index, count)}, out)
@@ -541,7 +547,7 @@ class Template:
 
     def conversation(self, messages: list[dict]) -> Output:
         """A whole conversation at once; without messages, opening and closing alone."""
-        out, env = Output(), {"messages": len(messages)}
+        out, env = Output(), {**self.parameters, "messages": len(messages)}
         self.opening(env, out)
         for i, m in enumerate(messages):
             self.body({**env, self.message: m, "loop": position(i, len(messages))}, out)

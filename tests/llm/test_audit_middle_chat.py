@@ -150,7 +150,7 @@ M = [{"role": "user", "text": "Hi"}, {"role": "assistant", "text": "Yo"}, {"role
 
 
 def test_language():
-    src = """{# remark #}{{ 'a' ~ 1 + 2 }}{% for m in messages -%}
+    src = """{# remark #}{{ 'a' ~ (1 + 2) }}{% for m in messages -%}
       {{ loop.index }}/{{ loop.length }}{% if loop.first %}!{% elif loop.last %}.{% else %}-{% endif %}{% set t = m.text|default("none") %}{{ t|upper }}
     {%- for x in [1, 'b'] %}{{ x }}{% endfor %};{% endfor %}{% if messages|length > 2 and not (1 in [2]) %}end{% endif %}{{ "q" if 3 % 2 == 1 else "r" }}"""
     assert rendered(src, M).text == "a3" + "1/3!HI1b;" + "2/3-YO1b;" + "3/3.NONE1b;" + "endq"
