@@ -5,9 +5,9 @@ existential self-join: the documents are left-semi joined with the first ids of
 smaller id. The rows it finds are united with those that fail the other filters, one bit each; per part only the
 counts of the 32 bit combinations are left, and all 120 orders are read off them.
 
-Hot groups: digests are counted first, and only texts with a repeated digest and two ids travel. The first ids are
-pre-aggregated before their exchange. A digest with many rows is dealt over blocks of about BLOCK rows on the left side,
-and its first id is repeated once per block, so copies that make up a third of the table are many equal tasks.
+Hot groups: digests are counted first, and only texts whose digest is repeated under two ids travel. The first ids are
+pre-aggregated before their exchange. A digest with more than 1 / SHARES of the rows is dealt over blocks on the left
+side, and its first id is repeated once per block, so copies that make up a third of the table are many equal tasks.
 
 Defined results: a null text counts as empty; a null lang is the part ''; a null doc_id is never smaller than another
 and has none smaller, so it does not fail E; repeated rows count one by one and are no copies of each other (their ids
@@ -29,8 +29,10 @@ from telesift.llm.registry import query
 
 FILTERS = "ABCDE"
 BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
-#: Rows of one digest on the left side of the self-join that share a task.
-BLOCK = 256
+#: A digest with more than 1 / SHARES of all rows is dealt over blocks of about that many rows.
+SHARES = 1024
+#: Size of the bit table that keeps unrepeated texts where they are (2 MB).
+BITS = 1 << 24
 
 
 def text_failures(text: Column) -> Column:
@@ -49,15 +51,31 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
+def bit_table(keys: DataFrame, key: str) -> Column:
+    """A table of BITS bits with that of every key set, as one array of BITS / 64 numbers whatever the number of keys."""
+    at = F.pmod(F.xxhash64(key), F.lit(BITS))
+    places = keys.select(at.alias("at")).selectExpr("at div 64 as id", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("id").agg(F.bit_or("bit").alias("bits"))
+    dense = keys.sparkSession.range(BITS // 64).join(places, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
+    return dense.select(F.col("all.bits")).scalar()
+
+
 def copies(docs: DataFrame, digests: DataFrame) -> DataFrame:
-    """(doc_id, part, digest) of the rows that have the text of a smaller id; `digests` holds (digest, doc_id) of all rows."""
+    """(doc_id, part, digest) of the rows that have the text of a smaller id; `digests` holds (digest, doc_id) of all rows.
+
+    A text travels if its digest may be repeated, which a bit table of fixed size tells beside the scan.
+    """
     groups = digests.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    repeated = staged(groups.where("least < most").select(F.col("digest").alias("_digest"), "least", blocks.alias("blocks")), "audit-repeated")
-    rows = named(docs).join(repeated, F.col("digest") == F.col("_digest")).drop("_digest")
-    first = rows.groupBy("digest", "text", "blocks").agg(F.min("doc_id").alias("first"))
-    first = first.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*[F.col(c).alias(f"_{c}") for c in ("digest", "text", "block", "first")])
-    later = rows.where("doc_id > least").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    repeated = staged(groups.where("least < most").select("digest", "n"), "audit-repeated")
+    # at most SHARES digests hold more than 1 / SHARES of the rows
+    total = digests.agg(F.count("*")).scalar()
+    entries = repeated.where(F.col("n") * SHARES > total).agg(F.collect_list(F.struct("digest", F.ceil(F.col("n") * SHARES / total).cast("int").alias("blocks"))).alias("e"))
+    blocks = F.coalesce(F.element_at(entries.select(F.map_from_entries("e")).scalar(), F.col("digest")), F.lit(1))
+    at = F.pmod(F.xxhash64("digest"), F.lit(BITS))
+    word = F.element_at(bit_table(repeated, "digest"), (F.floor(at / 64) + 1).cast("int"))
+    rows = named(docs).where(F.getbit(word, (at % 64).cast("int")) == 1)
+    first = rows.groupBy("digest", "text").agg(F.min("doc_id").alias("first"))
+    first = first.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*[F.col(c).alias(f"_{c}") for c in ("digest", "text", "block", "first")])
+    later = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))
     same = (F.col("digest") == F.col("_digest")) & (F.col("text") == F.col("_text")) & (F.col("block") == F.col("_block"))
     return later.join(first, same & (F.col("_first") < F.col("doc_id")), "left_semi").select("doc_id", "part", "digest")
 

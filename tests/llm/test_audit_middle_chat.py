@@ -66,7 +66,8 @@ def test_audit_equals_brute_force_on_odd_rows(spark, odd):
 
 
 def test_audit_of_a_group_of_copies_in_many_blocks(spark, monkeypatch):
-    monkeypatch.setattr(audit, "BLOCK", 3)
+    monkeypatch.setattr(audit, "SHARES", 16)
+    monkeypatch.setattr(audit, "BITS", 64)
     docs = [(i, "same text #" if i % 3 else f"other {i}", "en") for i in range(60)] + [(7, "same text #", "de"), (None, "same text #", None), (None, "", None), (None, "", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, lang string").repartition(5)
     got = found_audit(audit.audit(df, spark.createDataFrame([(1, 1, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")))
