@@ -38,6 +38,12 @@ def _scores(counts: DataFrame) -> DataFrame:
     )
 
 
+def per_class_scores(conf: DataFrame, keys: list[str]) -> DataFrame:
+    """Precision, recall, F1 and support of every class that occurs in y."""
+    s = _scores(class_counts(conf, keys)).filter("true_n > 0")
+    return s.select(*keys, "cls", "precision", "recall", "f1", F.col("true_n").alias("support"))
+
+
 def per_class_f1(conf: DataFrame, keys: list[str], classes: DataFrame | None = None) -> DataFrame:
     """F1 per class. `classes` (keys, cls) names the classes of a run, those of its training and test labels: a class
     without test rows or predictions appears with F1 0. Without it, the classes in y or p appear."""

@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from math import factorial
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from telesift.functions.exprs import xlogx
-from telesift.functions.linalg import stack
 from telesift.operators.evaluate import FEATURES, LABEL, clf_rf, confusion, fidelity
-from telesift.operators.sampling import balanced_split
+from telesift.operators.sampling import balanced_split, sample_per_group
+from telesift.operators.treeshap import TreeTable, attributions, base_of, tree_tables
 from telesift.session import scratch_path
 
 
@@ -62,96 +57,33 @@ def forest_nodes(model) -> DataFrame:
     )
 
 
-def leaf_rules(nodes: pd.DataFrame) -> list[tuple]:
-    """Per leaf: class shares and, per feature on its path, the value interval and cover share.
-
-    A leaf's output is the product over its path features of "row inside the interval", and
-    the expected value of each such factor is the share of training rows that pass its splits.
-    """
-    rules = []
-    for _, tree in nodes.groupby("tree"):
-        by_id = {r.node: r for r in tree.itertuples(index=False)}
-        todo = [(0, {})]
-        while todo:
-            i, path = todo.pop()
-            r = by_id[i]
-            total = float(np.sum(r.stats))
-            if r.left < 0:
-                rules.append((np.asarray(r.stats, dtype=float) / total, path))
-                continue
-            for child, below in ((r.left, True), (r.right, False)):
-                low, high, share = path.get(r.feature, (-np.inf, np.inf, 1.0))
-                share *= float(np.sum(by_id[child].stats)) / total
-                edge = (low, min(high, r.cut), share) if below else (max(low, r.cut), high, share)
-                todo.append((child, {**path, r.feature: edge}))
-    return rules
-
-
-def leaf_shares(inside: np.ndarray, cover: np.ndarray) -> np.ndarray:
-    """Shapley value of every factor of a product game, for many rows at once.
-
-    The product over the factors of (cover + inside * t) collects all coalitions by size; a
-    factor's value follows by dividing it out again and weighting the sizes.
-    """
-    n, p = inside.shape
-    poly = np.zeros((n, p + 1))
-    poly[:, 0] = 1.0
-    for f in range(p):
-        poly[:, 1 : f + 2] = poly[:, 1 : f + 2] * cover[f] + poly[:, : f + 1] * inside[:, [f]]
-        poly[:, 0] *= cover[f]
-    weight = np.array([factorial(s) * factorial(p - s - 1) / factorial(p) for s in range(p)])
-    out = np.empty((n, p))
-    for f in range(p):
-        hit = inside[:, f] > 0
-        rest = np.zeros((n, p))
-        carry = np.zeros(n)
-        for s in range(p, 0, -1):  # divide by (cover + t), highest power first
-            carry = poly[:, s] - cover[f] * carry
-            rest[:, s - 1] = carry
-        out[:, f] = np.where(hit, 1.0 - cover[f], -cover[f]) * (np.where(hit[:, None], rest, poly[:, :p] / cover[f]) @ weight)
-    return out
+def forest_trees(model) -> list[TreeTable]:
+    """The fitted forest as level tables; its size is bounded by trees x depth, not by rows."""
+    return tree_tables(forest_nodes(model).toPandas())
 
 
 def tree_shap(df: DataFrame, model, features: list[str], id_col: str = "row_id", keep: list[str] = ()) -> DataFrame:
-    """Attributions (id, keep.., cluster, pos, phi) of a forest's class probabilities.
+    """Attributions (id, keep.., cluster, phi) of a forest's class probabilities, phi an array over the features.
 
-    The forest (bounded by trees x depth) is shared with the tasks as leaf rules; rows stay
-    distributed. Per row and cluster the attributions and the base value sum to the probability.
+    The forest is shared with the tasks; rows stay distributed. Per row and cluster the attributions and the base
+    value sum to the probability.
     """
-    rules = leaf_rules(forest_nodes(model).toPandas())
-    trees, k, d = model.getNumTrees, model.numClasses, len(features)
-    shared = df.sparkSession.sparkContext.broadcast(rules)
-    kinds = dict(df.dtypes)
-    heads = [id_col, *keep]
-
-    def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in (b.iloc[i : i + 1000] for b in batches for i in range(0, len(b), 1000)):
-            x = stack(pdf["_x"])
-            phi = np.zeros((len(x), k, d))
-            for share, path in shared.value:
-                if not path:
-                    continue
-                cols = np.array(list(path))
-                low, high, cover = np.array(list(path.values())).T
-                inside = ((x[:, cols] > low) & (x[:, cols] <= high)).astype(float)
-                part = leaf_shares(inside, cover)
-                phi[:, :, cols] += share[None, :, None] * part[:, None, :]
-            out = {c: np.repeat(pdf[c].to_numpy(), k * d) for c in heads}
-            out["cluster"] = np.tile(np.repeat(np.arange(k), d), len(x))
-            out["pos"] = np.tile(np.arange(d), len(x) * k)
-            out["phi"] = phi.ravel() / trees
-            yield pd.DataFrame(out)
-
-    rows = df.select(*heads, F.array(*[F.col(f).cast("double") for f in features]).alias("_x"))
-    schema = ", ".join([*[f"{c} {kinds[c]}" for c in heads], "cluster bigint", "pos int", "phi double"])
-    return rows.mapInPandas(attribute, schema)
+    return attributions(df, forest_trees(model), features, id_col, list(keep))
+
+
+def by_feature(phi: DataFrame) -> DataFrame:
+    """The array rows of tree_shap as (.., pos, phi), for the tables below."""
+    return phi.select(*[c for c in phi.columns if c != "phi"], F.posexplode("phi").alias("pos", "phi"))
 
 
 def base_values(model) -> list[float]:
     """Expected class probabilities of the forest over its training cover."""
-    rules = leaf_rules(forest_nodes(model).toPandas())
-    total = sum(share * np.prod([c for _, _, c in path.values()]) for share, path in rules)
-    return [float(v) for v in total / model.getNumTrees]
+    return [float(v) for v in base_of(forest_trees(model))]
+
+
+def explained(split: DataFrame, per_cluster: int = 300, cluster: str = "cluster", seed: int = 42, id_col: str = "row_id") -> DataFrame:
+    """The held-out rows to explain: at most `per_cluster` of each cluster."""
+    return sample_per_group(split.filter("role = 'holdout'"), cluster, per_cluster, seed, id_col)
 
 
 # ---------------------------------------------------------------- tables over attributions

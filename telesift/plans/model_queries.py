@@ -10,7 +10,7 @@ from telesift.operators import explain as X
 from telesift.operators import sampling as M
 from telesift.operators import scaling as S
 from telesift.plans import fixtures as fx
-from telesift.plans.cluster_queries import EMB_F, _centers
+from telesift.plans.cluster_queries import ASSIGNED, EMB_F, _centers
 from telesift.plans.registry import query, r
 from telesift.session import stage
 
@@ -133,23 +133,88 @@ def _clustered(spark, sf):
     return rows.select("row_id", "cluster", *[F.col("v")[i].alias(f) for i, f in enumerate(EMB_F)]), len(centers)
 
 
-def _proxy(spark, sf, trees=30, depth=6):
+def _proxy(spark, sf):
     rows, k = _clustered(spark, sf)
-    split = X.proxy_split(rows, k).persist()
-    return X.fit_proxy(split.filter("role = 'train'"), EMB_F, trees=trees, depth=depth), split
+    split = stage(X.proxy_split(rows, k), "proxy-split")
+    return X.fit_proxy(split.filter("role = 'train'"), EMB_F), split
 
 
 @query("fit_proxy")
 def fit_proxy(spark, sf):
-    model, split = _proxy(spark, sf, 200, 10)
+    model, split = _proxy(spark, sf)
     return X.proxy_fidelity(X.proxy_predictions(model, split, EMB_F), ["role"])
 
 
+#: Sizes of the proxy's split per relabelled cluster: rows, training rows, held-out rows that are explained.
+SPLIT_SIZES = f"""{ASSIGNED}, sz AS (SELECT CAST(row_number() OVER (ORDER BY count(*) DESC, cluster) - 1 AS INTEGER) AS cluster, count(*) AS n, count(*) OVER () AS k FROM asg GROUP BY cluster),
+    sp AS (SELECT cluster, n, CAST(greatest(1, least(5000 // k, floor(n * 0.7e0))) AS BIGINT) AS n_train FROM sz)"""
+
+
+@query(
+    "fit_proxy_scores",
+    f"""WITH {SPLIT_SIZES}, q AS (SELECT unnest(['train', 'holdout']) AS role, cluster, unnest([n_train, n - n_train]) AS support FROM sp)
+    SELECT role, cluster, support, true AS in_range, true AS f1_fits FROM q WHERE support > 0""",
+)
+def fit_proxy_scores(spark, sf):
+    """Precision, recall and F1 of the proxy per cluster lie in range and belong together; supports are those of the split."""
+    s = _proxy_scores(spark, sf)
+    p, q = F.col("precision"), F.col("recall")
+    f1 = F.when(p + q > 0, 2 * p * q / (p + q)).otherwise(0.0)
+    return s.select("role", F.col("cls").alias("cluster"), "support", (p.between(0, 1) & q.between(0, 1)).alias("in_range"), (F.abs(f1 - F.col("f1")) < 1e-12).alias("f1_fits"))
+
+
+def _proxy_scores(spark, sf):
+    model, split = _proxy(spark, sf)
+    return E.per_class_scores(E.confusion(X.proxy_predictions(model, split, EMB_F), ["role"]), ["role"])
+
+
+@query("proxy_cluster_scores")
+def proxy_cluster_scores(spark, sf):
+    """In-sample and held-out precision, recall and F1 of the proxy per cluster."""
+    return _proxy_scores(spark, sf)
+
+
+def _attributed(spark, sf):
+    model, split = _proxy(spark, sf)
+    rows = X.explained(split).withColumnRenamed("cluster", "row_cluster")
+    return model, split, rows, X.tree_shap(rows, model, EMB_F, keep=["row_cluster"])
+
+
 @query("tree_shap")
 def tree_shap(spark, sf):
-    model, split = _proxy(spark, sf)
-    rows = split.filter("role = 'holdout'").withColumnRenamed("cluster", "row_cluster")
-    return X.tree_shap(rows, model, EMB_F, keep=["row_cluster"])
+    """Attributions of the proxy at full size: 200 trees of depth 10."""
+    return _attributed(spark, sf)[3]
+
+
+@query(
+    "tree_shap_sums",
+    f"""WITH {SPLIT_SIZES} SELECT cluster AS row_cluster, least(300, n - n_train) AS n_rows, least(300, n - n_train) * k AS n_exact, {fx.DIM} AS n_features
+    FROM sp JOIN (SELECT count(*) AS k FROM sp) ON true WHERE n > n_train""",
+)
+def tree_shap_sums(spark, sf):
+    """Base value and attributions of every row and class add up to the forest's probability."""
+    from pyspark.ml.functions import vector_to_array
+
+    model, _, rows, phi = _attributed(spark, sf)
+    base = F.array(*[F.lit(v) for v in X.base_values(model)])
+    prob = model.transform(E.assembled(rows, EMB_F)).select("row_id", vector_to_array("probability").alias("p"))
+    total = F.aggregate("phi", F.lit(0.0), lambda a, v: a + v) + F.element_at(base, F.col("cluster").cast("int") + 1)
+    exact = F.abs(total - F.element_at("p", F.col("cluster").cast("int") + 1)) < 1e-9
+    return phi.join(prob, "row_id").groupBy("row_cluster").agg(
+        F.countDistinct("row_id").alias("n_rows"), F.sum(exact.cast("bigint")).alias("n_exact"), F.max(F.size("phi")).alias("n_features"))
+
+
+@query("tree_shap_clarity")
+def tree_shap_clarity(spark, sf):
+    """Clarity of the clusters from the proxy's own attributions and held-out F1."""
+    model, split, _, phi = _attributed(spark, sf)
+    profile = stage(X.cluster_profile(X.by_feature(phi)), "profile")
+    held = E.per_class_f1(E.confusion(X.proxy_predictions(model, split.filter("role = 'holdout'"), EMB_F), []), [])
+    f1 = held.select(F.col("cls").cast("bigint").alias("cluster"), "f1")
+    features = spark.createDataFrame([(i, f, f"group{i // 16}") for i, f in enumerate(EMB_F)], "pos int, feature string, grp string")
+    label = F.conv(F.substring(F.md5(F.col("row_id").cast("string")), 1, 4), 16, 10).cast("int")
+    rows = split.select(F.col("cluster").cast("bigint").alias("cluster"), F.when(label % 3 == 0, "benign").otherwise("attack").alias("label1"), F.concat(F.lit("kind_"), label % 4).alias("label2"))
+    return X.clarity(profile, features, f1, rows)
 
 
 SELECTED = [0, 1, 3, 5, 8]
