@@ -168,23 +168,61 @@ def group_time(df: DataFrame, ts: str = "ts", seconds: int = 300) -> DataFrame:
     return _time_block(df, ts, seconds).withColumn("grp", F.col("_block").cast("string")).drop("_block")
 
 
-def stratified_group_folds(df: DataFrame, y: str, grp: str = "grp", k: int = 5, seed=42) -> DataFrame:
-    """Whole groups go to folds, class mix balanced.
+def deal_groups(groups: list[list[int]], totals: list[int], loads: list[list[int]]) -> list[int]:
+    """Fold of every group, in the given order: the one whose class shares the group raises least unevenly.
 
-    Rows are reduced to one line per group. Groups with the same dominant class are
-    sorted by size and dealt forth and back over the folds, so each fold gets a like
-    number of large and small groups of every class.
+    With shares s = count / total, giving group g to fold f adds 2 * sum(s_f * s_g) to the sum of squared shares besides
+    a term that is the same for all folds. Integers (weights in thousandths) make the choice exact; among equals the fold
+    with fewer rows, then the first one, is taken. `loads` are the class counts of the folds so far and grow.
     """
-    cells = df.groupBy(grp, y).agg(F.count(F.lit(1)).alias("_c"))
-    groups = cells.groupBy(grp).agg(
-        F.min_by(y, F.struct(-F.col("_c"), F.col(y))).alias("_dom"), F.sum("_c").alias("_s")
-    )
-    order = Window.partitionBy("_dom").orderBy(F.desc("_s"), digest(seed, F.col(grp)), grp)
-    slot = (F.row_number().over(order) - 1) % (2 * k)
-    folds = groups.select(grp, F.when(slot < k, slot).otherwise(2 * k - 1 - slot).cast("int").alias("fold"))
+    most = max(totals, default=1)
+    weight = [int(1000.0 * (most / t) * (most / t)) for t in totals]
+    rows = [sum(load) for load in loads]
+    out = []
+    for g in groups:
+        pull = [(c, n * weight[c]) for c, n in enumerate(g) if n]
+        fold = min(range(len(loads)), key=lambda f: (sum(loads[f][c] * n for c, n in pull), rows[f], f))
+        for c, n in enumerate(g):
+            loads[fold][c] += n
+        rows[fold] += sum(g)
+        out.append(fold)
+    return out
+
+
+def stratified_group_folds(df: DataFrame, y: str, grp: str = "grp", k: int = 5, seed=42, most: int = 20_000) -> DataFrame:
+    """Whole groups go to folds so that every class is spread evenly.
+
+    Rows are reduced to one line of class counts per group. The `most` groups with the largest class shares are dealt
+    one by one, largest first (see deal_groups); the smaller ones, if there are more, go round the folds before them,
+    those of one dominant class and size in md5 order, and the large ones even out what that leaves.
+    """
+    cells = stage(df.groupBy(grp, y).agg(F.count(F.lit(1)).alias("_c")), "group-cells")
+    classes = [(r[0], r[1]) for r in cells.groupBy(y).agg(F.sum("_c").alias("t")).orderBy(F.col(y).asc_nulls_first()).collect()]
+    totals = [t for _, t in classes]
+    of = lambda c: F.sum(F.when(F.col(y).eqNullSafe(F.lit(c)), F.col("_c")).otherwise(0))
+    groups = cells.groupBy(grp).agg(F.array(*[of(c) for c, _ in classes]).alias("_n"))
+    share = F.aggregate(F.transform("_n", lambda n, i: (n * n).cast("double") / F.element_at(F.array(*[F.lit(float(t) * t) for t in totals]), i + 1)), F.lit(0.0), lambda a, v: a + v)
+    groups = stage(groups.withColumn("_size", share).withColumn("_h", digest(seed, F.col(grp))), "groups")
+    head = groups.orderBy(F.desc(F.round("_size", 12)), "_h", F.col(grp).asc_nulls_first()).limit(most).collect()
+    loads = [[0] * len(classes) for _ in range(k)]
+    tail = None
+    if len(head) == most:
+        last = head[-1]
+        key = lambda size, h, g: F.struct(-F.round(size, 12), h, g)
+        rest = groups.filter(key(F.col("_size"), F.col("_h"), F.col(grp)) > key(F.lit(last["_size"]), F.lit(last["_h"]), F.lit(last[grp])))
+        like = [F.array_position("_n", F.array_max("_n")).alias("_dom"), F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n).alias("_rows")]
+        ranked = hash_rank(rest.select(grp, "_n", *like), ["_dom", "_rows"], seed, grp)
+        tail = stage(ranked.select(grp, "_n", F.pmod(F.col("rn") + F.xxhash64("_dom", "_rows"), F.lit(k)).cast("int").alias("fold")), "group-tail")
+        for r in tail.groupBy("fold").agg(*[F.sum(F.col("_n")[i]).alias(f"n{i}") for i in range(len(classes))]).collect():
+            loads[r["fold"]] = list(r[1:])
+    folds = deal_groups([r["_n"] for r in head], totals, loads)
+    kind = cells.schema[grp].dataType.simpleString()
+    dealt = df.sparkSession.createDataFrame([(r[grp], f) for r, f in zip(head, folds, strict=True)], f"`{grp}` {kind}, fold int")
+    if tail is not None:
+        dealt = dealt.unionByName(tail.select(grp, "fold"))
     # written out first: the join then broadcasts the table only if its real size allows it,
     # and falls back to a sort-merge join whose hot groups are split at run time
-    return null_safe_join(df, stage(folds, "group-folds"), [grp])
+    return null_safe_join(df, stage(dealt, "group-folds"), [grp])
 
 
 def full_fold(df: DataFrame) -> DataFrame:

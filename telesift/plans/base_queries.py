@@ -514,14 +514,20 @@ def group_time(spark, sf):
     return M.group_time(fx.read(spark, sf, "events")).select("event_id", "grp")
 
 
+#: The deal as a recursion over the groups, largest share vector first; state: class counts and rows of the five folds.
 GROUP_FOLDS = f"""grouped AS (SELECT *, {EXEC} AS grp FROM flows),
     cells AS (SELECT grp, label2, count(*) AS c FROM grouped GROUP BY 1, 2),
-    g AS (SELECT grp, arg_min(label2, (-c, label2)) AS dom, sum(c) AS s FROM cells GROUP BY 1),
-    o AS (SELECT grp, (row_number() OVER (PARTITION BY dom ORDER BY s DESC, md5('42|' || grp), grp) - 1) % 10 AS slot FROM g),
-    gf AS (SELECT grp, CAST(CASE WHEN slot < 5 THEN slot ELSE 9 - slot END AS INTEGER) AS fold FROM o)"""
+    cls AS (SELECT label2, CAST(t AS DOUBLE) AS t, CAST(floor(1000 * (max(t) OVER () / t) * (max(t) OVER () / t)) AS HUGEINT) AS w FROM (SELECT label2, sum(c) AS t FROM cells GROUP BY 1)),
+    filled AS (SELECT g.grp, cls.label2, cls.t, cls.w, coalesce(c, 0) AS c FROM (SELECT DISTINCT grp FROM cells) g CROSS JOIN cls LEFT JOIN cells USING (grp, label2)),
+    gv AS (SELECT grp, list(CAST(c AS HUGEINT) ORDER BY label2) AS n, list(c * w ORDER BY label2) AS wn, CAST(sum(c) AS HUGEINT) AS s, sum(c * c / (t * t)) AS size FROM filled GROUP BY 1),
+    o AS (SELECT *, row_number() OVER (ORDER BY round(size, 12) DESC, md5('42|' || grp), grp) AS i FROM gv),
+    deal AS (SELECT 0 AS i, CAST(NULL AS VARCHAR) AS grp, CAST(NULL AS BIGINT) AS f, [[CAST(0 AS HUGEINT) FOR x IN range(len(n))] FOR y IN range(5)] AS loads, [CAST(0 AS HUGEINT) FOR y IN range(5)] AS rows FROM o WHERE i = 1
+      UNION ALL SELECT i, grp, f, [CASE WHEN y + 1 = f THEN [loads[f][x] + n[x] FOR x IN range(1, len(n) + 1)] ELSE loads[y + 1] END FOR y IN range(5)], [CASE WHEN y + 1 = f THEN rows[f] + s ELSE rows[y + 1] END FOR y IN range(5)]
+      FROM (SELECT i, grp, n, s, loads, rows, list_position(k, list_min(k)) AS f FROM (SELECT o.*, deal.loads, deal.rows, [CAST(list_sum([loads[y + 1][x] * o.wn[x] FOR x IN range(1, len(o.wn) + 1)]) AS HUGEINT) * 1000000000 + rows[y + 1] FOR y IN range(5)] AS k FROM deal JOIN o ON o.i = deal.i + 1))),
+    gf AS (SELECT grp, CAST(f - 1 AS INTEGER) AS fold FROM deal WHERE i > 0)"""
 
 
-@query("stratified_group_folds", f"WITH {fx.FLOWS}, {GROUP_FOLDS} SELECT row_id, grp, fold FROM grouped JOIN gf USING (grp)")
+@query("stratified_group_folds", f"WITH RECURSIVE {fx.FLOWS}, {GROUP_FOLDS} SELECT row_id, grp, fold FROM grouped JOIN gf USING (grp)")
 def stratified_group_folds(spark, sf):
     grouped = M.group_exec(fx.flows(spark, sf), seconds=DAY)
     return M.stratified_group_folds(grouped, "label2", "grp", 5).select("row_id", "grp", "fold")

@@ -39,13 +39,40 @@ def test_knn_with_a_third_of_equal_rows(spark, exclude):
     rng = np.random.default_rng(0)
     x = np.vstack([np.zeros((100, 3)), rng.normal(size=(200, 3))])
     df = points(spark, x)
-    got = N.knn_join(df, df, 4, exclude_self=exclude, n_pivots=8, block=32).collect()
+    got = N.knn_join(df, df, 4, exclude_self=exclude, cell=16, block=32).collect()
     near = {}
     for r in sorted(got, key=lambda r: r["rank"]):
         near.setdefault(r["row_id"], []).append(r["ref_id"])
     assert near == brute_knn(x, x, 4, exclude)
 
 
+def test_knn_with_far_outliers_and_few_rows_per_cell(spark):
+    rng = np.random.default_rng(1)
+    x = np.round(np.vstack([rng.normal(size=(300, 6)), rng.normal(size=(40, 6)) + 20, [[1e6] * 6], [[-3e5, 0, 0, 0, 0, 9]], np.full((3, 6), 50.0)]), 2)
+    q = np.vstack([x[::7], [[1e6 + 5] * 6], rng.normal(size=(5, 6)) * 30])
+    got = N.knn_join(points(spark, q), points(spark, x), 9, cell=8, block=5).collect()
+    near = {}
+    for r in sorted(got, key=lambda r: r["rank"]):
+        near.setdefault(r["row_id"], []).append(r["ref_id"])
+    assert near == brute_knn(x, q, 9, False)
+    few = N.knn_join(points(spark, q[:4]), points(spark, x[:3]), 5).collect()
+    assert len(few) == 4 * 3
+    assert N.knn_join(points(spark, q[:4]), points(spark, x[:0]), 5).count() == 0
+
+
+def test_knn_pairs_grow_slower_than_all_pairs(spark):
+    rng, pairs = np.random.default_rng(2), {}
+    for n in (2000, 8000):
+        # three dimensions inside of eight, and one row far away from all others
+        x = np.vstack([rng.normal(size=(n, 3)) @ rng.normal(size=(3, 8)), np.full((1, 8), 1e5)])
+        watch = {}
+        df = points(spark, x)
+        N.knn_join(df, df, 5, exclude_self=True, cell=64, watch=watch).count()
+        pairs[n] = watch["pairs"] + n
+        assert watch["cells"] > n / 100
+    assert pairs[8000] < pairs[2000] * 4**1.5
+
+
 def test_knn_votes_lowest_class_wins(spark):
     near = spark.createDataFrame([(1, 10), (1, 11), (1, 12), (1, 13)], "row_id int, ref_id int")
     labels = spark.createDataFrame([(10, "b"), (11, "a"), (12, "b"), (13, "a")], "row_id int, label string")
@@ -70,6 +97,51 @@ def test_folds_partition_the_rows_and_keep_groups_whole(spark, sf):
     folds.unpersist()
 
 
+def spread(counts, fold, k):
+    """Mean over the classes of the deviation of their shares among the folds."""
+    shares = np.zeros((k, counts.shape[1]))
+    np.add.at(shares, fold, counts / counts.sum(axis=0))
+    return shares.std(axis=0).mean()
+
+
+def sequential(counts, k):
+    """Groups by falling deviation of their counts, each to the fold that leaves the least spread."""
+    loads, fold = np.zeros((k, counts.shape[1])), np.zeros(len(counts), int)
+    for g in np.argsort(-counts.std(axis=1), kind="stable"):
+        scores = []
+        for f in range(k):
+            loads[f] += counts[g]
+            scores.append((np.round((loads / counts.sum(axis=0)).std(axis=0).mean(), 12), loads[f].sum()))
+            loads[f] -= counts[g]
+        fold[g] = min(range(k), key=lambda f: scores[f])
+        loads[fold[g]] += counts[g]
+    return fold
+
+
+@pytest.mark.parametrize("grouping", ["exec", "device"])
+def test_grouped_folds_spread_all_classes(spark, sf, grouping):
+    rows = fx.flows(spark, sf.replace("0.001", "0.01"))
+    rows = M.group_exec(rows, seconds=86400) if grouping == "exec" else M.group_device(rows)
+    found = M.stratified_group_folds(rows, "label2", "grp", 5).groupBy("grp", "fold").pivot("label2").count().fillna(0).toPandas()
+    counts = found.drop(columns=["grp", "fold"]).to_numpy(float)
+    assert found.grp.is_unique
+    assert spread(counts, found.fold.to_numpy(), 5) <= spread(counts, sequential(counts, 5), 5)
+
+
+def test_grouped_folds_with_more_groups_than_are_dealt_singly(spark):
+    rng = np.random.default_rng(4)
+    rows = [(f"g{g}", ("a", "b", None)[g % 3 if rng.random() < 0.8 else int(rng.integers(3))]) for g in range(300) for _ in range(int(rng.integers(1, 8)))]
+    rows += [("huge", "a")] * 150 + [(None, "b")] * 20
+    df = spark.createDataFrame(rows, "grp string, y string")
+    got = M.stratified_group_folds(df, "y", "grp", 4, most=40)
+    assert got.count() == len(rows)
+    assert got.groupBy("grp").agg(F.countDistinct("fold").alias("n")).filter("n > 1").count() == 0
+    found = got.groupBy("grp", "fold").pivot("y").count().fillna(0).toPandas()
+    counts = found.drop(columns=["grp", "fold"]).to_numpy(float)
+    # one group holds more than a quarter of its class
+    assert spread(counts, found.fold.to_numpy(), 4) < 0.03
+
+
 def test_group_index_rejects_bad_assignments(spark):
     df = spark.createDataFrame([(1.0, 2.0)], "a double, b double")
     with pytest.raises(ValueError):
@@ -165,30 +237,74 @@ def test_forest_attributions_add_up(spark):
     names = [f"f{j}" for j in range(4)]
     df = spark.createDataFrame(rows, "row_id bigint, cluster int, " + ", ".join(f"{n} double" for n in names))
     model = X.fit_proxy(df, names, trees=7, depth=4)
-    phi = X.tree_shap(df, model, names).groupBy("row_id", "cluster").agg(F.sum("phi").alias("s")).toPandas()
+    phi = X.tree_shap(df, model, names).toPandas()
     base = X.base_values(model)
+    assert len(phi) == 200 * len(base)
     from pyspark.ml.functions import vector_to_array
 
     prob = model.transform(E.assembled(df, names)).select("row_id", vector_to_array("probability").alias("p")).toPandas().set_index("row_id")["p"]
     for r in phi.itertuples(index=False):
-        assert base[r.cluster] + r.s == pytest.approx(prob[r.row_id][r.cluster], abs=1e-9)
+        assert base[r.cluster] + sum(r.phi) == pytest.approx(prob[r.row_id][r.cluster], abs=1e-9)
     assert sum(base) == pytest.approx(1.0)
 
 
-def test_leaf_shares_against_all_coalitions():
+def random_tree(rng, d, k, depth):
+    """Node rows of a random tree; features repeat along its paths."""
+    rows = []
+
+    def grow(n, level):
+        node = len(rows)
+        rows.append(None)
+        left_n = int(rng.integers(1, n)) if n > 1 and level < depth and rng.random() < 0.9 else 0
+        if not left_n:
+            stats = rng.multinomial(n, np.ones(k) / k).astype(float)
+            rows[node] = (0, node, -1, -1, -1, 0.0, stats)
+            return node, stats
+        f, cut = int(rng.integers(0, d)), float(np.round(rng.normal(), 1))
+        left, a = grow(left_n, level + 1)
+        right, b = grow(n - left_n, level + 1)
+        rows[node] = (0, node, left, right, f, cut, a + b)
+        return node, a + b
+
+    grow(60, 0)
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=["tree", "node", "left", "right", "feature", "cut", "stats"])
+
+
+def test_attributions_against_all_coalitions():
     import itertools
     from math import factorial
 
-    inside, cover = np.array([[1.0, 0.0, 1.0]]), np.array([0.3, 0.6, 0.8])
-    value = lambda s: np.prod([inside[0, f] if f in s else cover[f] for f in range(3)])
-    for f in range(3):
-        rest = [g for g in range(3) if g != f]
-        want = sum(
-            factorial(len(s)) * factorial(2 - len(s)) / 6 * (value({*s, f}) - value(set(s)))
-            for m in range(3)
-            for s in itertools.combinations(rest, m)
-        )
-        assert X.leaf_shares(inside, cover)[0, f] == pytest.approx(want)
+    from telesift.operators import treeshap as T
+
+    rng = np.random.default_rng(3)
+    for trial in range(12):
+        d, k = 4, 3
+        nodes = random_tree(rng, d, k, 6 if trial else 0)
+        by_id = {r.node: r for r in nodes.itertuples(index=False)}
+        x = np.round(rng.normal(size=(5, d)), 1)
+
+        def value(row, known, node=0):
+            r = by_id[node]
+            if r.left < 0:
+                return r.stats / r.stats.sum()
+            if r.feature in known:
+                return value(row, known, r.left if row[r.feature] <= r.cut else r.right)
+            w = by_id[r.left].stats.sum() / r.stats.sum()
+            return w * value(row, known, r.left) + (1 - w) * value(row, known, r.right)
+
+        [table] = T.tree_tables(nodes)
+        got = T.forest_attributions([table, table], x)
+        assert T.base_of([table, table]) == pytest.approx(value(x[0], set()))
+        for i, f in itertools.product(range(len(x)), range(d)):
+            rest = [g for g in range(d) if g != f]
+            want = sum(
+                factorial(len(s)) * factorial(d - 1 - len(s)) / factorial(d) * (value(x[i], {*s, f}) - value(x[i], set(s)))
+                for m in range(d)
+                for s in itertools.combinations(rest, m)
+            )
+            assert got[i, :, f] == pytest.approx(want, abs=1e-12)
 
 
 def test_smooth_eigenvectors_are_orthonormal_and_smooth(spark):
