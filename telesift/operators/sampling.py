@@ -193,8 +193,8 @@ def stratified_group_folds(df: DataFrame, y: str, grp: str = "grp", k: int = 5,
     """Whole groups go to folds so that every class is spread evenly.
 
     Rows are reduced to one line of class counts per group. The `most` groups with the largest class shares are dealt
-    one by one, largest first (see deal_groups); the smaller ones, if there are more, go round the folds before them,
-    those of one dominant class and size in md5 order, and the large ones even out what that leaves.
+    one by one, largest first (see deal_groups). Smaller ones, if there are more, are dealt in parallel: those of one
+    dominant class and size stand in md5 order and go to the folds in proportion to what each fold still lacks.
     """
     cells = stage(df.groupBy(grp, y).agg(F.count(F.lit(1)).alias("_c")), "group-cells")
     classes = [(r[0], r[1]) for r in cells.groupBy(y).agg(F.sum("_c").alias("t")).orderBy(F.col(y).asc_nulls_first()).collect()]
@@ -205,21 +205,23 @@ def stratified_group_folds(df: DataFrame, y: str, grp: str = "grp", k: int = 5,
     groups = stage(groups.withColumn("_size", share).withColumn("_h", digest(seed, F.col(grp))), "groups")
     head = groups.orderBy(F.desc(F.round("_size", 12)), "_h", F.col(grp).asc_nulls_first()).limit(most).collect()
     loads = [[0] * len(classes) for _ in range(k)]
-    tail = None
+    folds = deal_groups([r["_n"] for r in head], totals, loads)
+    kind = cells.schema[grp].dataType.simpleString()
+    dealt = df.sparkSession.createDataFrame([(r[grp], f) for r, f in zip(head, folds, strict=True)], f"`{grp}` {kind}, fold int")
     if len(head) == most:
         last = head[-1]
         key = lambda size, h, g: F.struct(-F.round(size, 12), h, g)
         rest = groups.filter(key(F.col("_size"), F.col("_h"), F.col(grp)) > key(F.lit(last["_size"]), F.lit(last["_h"]), F.lit(last[grp])))
         like = [F.array_position("_n", F.array_max("_n")).alias("_dom"), F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n).alias("_rows")]
-        ranked = hash_rank(rest.select(grp, "_n", *like), ["_dom", "_rows"], seed, grp)
-        tail = stage(ranked.select(grp, "_n", F.pmod(F.col("rn") + F.xxhash64("_dom", "_rows"), F.lit(k)).cast("int").alias("fold")), "group-tail")
-        for r in tail.groupBy("fold").agg(*[F.sum(F.col("_n")[i]).alias(f"n{i}") for i in range(len(classes))]).collect():
-            loads[r["fold"]] = list(r[1:])
-    folds = deal_groups([r["_n"] for r in head], totals, loads)
-    kind = cells.schema[grp].dataType.simpleString()
-    dealt = df.sparkSession.createDataFrame([(r[grp], f) for r, f in zip(head, folds, strict=True)], f"`{grp}` {kind}, fold int")
-    if tail is not None:
-        dealt = dealt.unionByName(tail.select(grp, "fold"))
+        ranked = hash_rank(rest.select(grp, "_n", *like), ["_dom", "_rows"], seed, grp, "_rn", "_of")
+        # per class the bounds between the folds, in proportion to what each still lacks of an equal share
+        lacking = [[max(0.0, t / k - load[c]) + 1e-9 for load in loads] for c, t in enumerate(totals)]
+        bounds = F.array(*[F.array(*[F.lit(sum(row[: f + 1]) / sum(row)) for f in range(k - 1)]) for row in lacking])
+        turn = F.pmod(F.xxhash64("_dom", "_rows"), F.lit(1 << 20)) / F.lit(float(1 << 20))
+        at = (F.col("_rn") - 0.5) / F.col("_of") + turn
+        at = at - F.floor(at)
+        fold = F.size(F.filter(F.element_at(bounds, F.col("_dom").cast("int")), lambda b: b <= at))
+        dealt = dealt.unionByName(ranked.select(grp, fold.cast("int").alias("fold")))
     # written out first: the join then broadcasts the table only if its real size allows it,
     # and falls back to a sort-merge join whose hot groups are split at run time
     return null_safe_join(df, stage(dealt, "group-folds"), [grp])
