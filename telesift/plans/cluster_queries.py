@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from telesift.functions.exprs import feature_stats
 from telesift.functions.linalg import vector
 from telesift.operators import clusters as Cl
+from telesift.operators import eigen as Ei
 from telesift.operators import graph as Gr
 from telesift.operators import neighbors as N
 from telesift.operators import rank as Rk
@@ -17,7 +18,7 @@ from telesift.operators import search as Se
 from telesift.plans import fixtures as fx
 from telesift.plans.base_queries import FIT_COLS, VAR01, clean_cte, fit_sql, folded, long_sql, nn  # noqa: F401
 from telesift.plans.registry import query, r
-from telesift.session import stage
+from telesift.session import cut_lineage, stage
 
 FS = fx.FEATURES
 DIST = "list_distance({a}, {b})"
@@ -285,6 +286,32 @@ def rank_ndfs(spark, sf):
     return Rk.rank_ndfs(e, g, EMB_F)
 
 
+@query(
+    "smooth_eigenvectors",
+    f"""WITH {KNN} SELECT CAST(unnest(range(5)) AS INTEGER) AS vector, (SELECT count(*) FROM deg) AS n_nodes, true AS unit, true AS centred, true AS orthogonal, true AS settled, true AS in_order""",
+)
+def smooth_eigenvectors(spark, sf):
+    """The vectors of the graph against their definition: length, mean, angles and residual, recomputed from the Laplacian."""
+    graph = cut_lineage(_graph(spark, sf)[1])
+    y = Ei.smooth_eigenvectors(graph, 5)
+    ly = Gr.laplacian(graph).join(y.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id")).agg(*[F.sum(F.col("plain") * F.col(f"y{i}")).alias(f"l{i}") for i in range(5)])
+    both = stage(y.join(ly, "id"), "vectors")
+    dot = lambda a, b: F.sum(F.col(a) * F.col(b))
+    value = [dot(f"y{i}", f"l{i}") for i in range(5)]
+    # |L y - v y|^2 = |L y|^2 - 2 v y'L y + v^2 cancels; so the values come first
+    values = both.agg(*value).first()
+    rows = [
+        F.struct(
+            F.lit(i).alias("vector"), F.count(F.lit(1)).alias("n_nodes"), (F.abs(dot(f"y{i}", f"y{i}") - 1) < 1e-9).alias("unit"), (F.abs(F.avg(f"y{i}")) < 1e-7).alias("centred"),
+            F.array_max(F.array(F.lit(0.0), *[F.abs(dot(f"y{i}", f"y{j}")) for j in range(5) if j != i])).__lt__(1e-9).alias("orthogonal"),
+            (F.sqrt(F.sum(F.pow(F.col(f"l{i}") - values[i] * F.col(f"y{i}"), 2))) <= 1e-6 * 2 * F.max("deg")).alias("settled"),
+            F.lit(i == 0 or values[i] >= values[i - 1] - 1e-9).alias("in_order"),
+        )
+        for i in range(5)
+    ]
+    return both.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
 @query("rank_mcfs")
 def rank_mcfs(spark, sf):
     e, g = _graph(spark, sf)

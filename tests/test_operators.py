@@ -307,19 +307,25 @@ def test_attributions_against_all_coalitions():
             assert got[i, :, f] == pytest.approx(want, abs=1e-12)
 
 
-def test_smooth_eigenvectors_are_orthonormal_and_smooth(spark):
+def test_smooth_eigenvectors_settle(spark):
     x, _ = blobs(90, 3)
     edges = knn_graph(points(spark, x), 5)
-    got = smooth_eigenvectors(edges, 3, rounds=3).toPandas().sort_values("id")
+    watch = {}
+    got = smooth_eigenvectors(edges, 3, watch=watch).toPandas().sort_values("id")
     y = got[["y0", "y1", "y2"]].to_numpy()
     e = edges.toPandas()
     ids = {v: i for i, v in enumerate(got["id"])}
     w = np.zeros((len(ids), len(ids)))
     w[[ids[v] for v in e.src], [ids[v] for v in e.dst]] = e.w
     lap = np.diag(w.sum(axis=1)) - w
-    assert np.allclose(y.T @ y, np.eye(3), atol=1e-8) and np.allclose(y.sum(axis=0), 0, atol=1e-7)
-    exact = np.linalg.eigvalsh(lap)[1:4]
-    assert np.all(np.diag(y.T @ lap @ y) <= exact + 0.05)
+    assert np.allclose(y.T @ y, np.eye(3), atol=1e-9) and np.allclose(y.sum(axis=0), 0, atol=1e-7)
+    exact = np.linalg.eigvalsh(lap)
+    assert watch["top"] >= exact[-1] and np.allclose(watch["values"], exact[1:4], atol=1e-9)
+    assert np.linalg.norm(lap @ y - y * watch["values"], axis=0).max() <= 1e-6 * watch["top"]
+    with pytest.raises(RuntimeError, match="did not settle"):
+        smooth_eigenvectors(edges, 3, tol=1e-15, most=1)
+    with pytest.raises(ValueError, match="fewer than"):
+        smooth_eigenvectors(spark.createDataFrame([(1, 2, 1.0), (2, 1, 1.0)], "src long, dst long, w double"), 2)
 
 
 def test_factor_error_never_rises():
