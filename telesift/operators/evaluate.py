@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import isqrt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from telesift.functions.exprs import null_safe_join
+from telesift.operators.forest import Fit, predicted, prepared
+from telesift.session import stage
 
 
 def confusion(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -168,53 +173,73 @@ def predict(train: DataFrame, test: DataFrame, features: list[str], label: str,
     return model.transform(assembled(test, features)).select(*keep, F.col(label).alias("y"), name_of.alias("p"))
 
 
-def evaluate_sets(
+def tree_fits(method: str, task: str, clf: str, options: dict, cols: list[int], label: int, classes: int, k: int) -> list[Fit]:
+    """The fits of one cell of the comparison, one per fold: trees to purity, a root of the features tried per node in a forest."""
+    forest = clf == "rf"
+    trees, depth = options.get("trees", 100 if forest else 1), options.get("depth")
+    tried = max(1, isqrt(len(cols))) if forest else None
+    return [Fit((f, method, task, clf, len(cols)), f, label, classes, tuple(cols), trees, tried, forest, depth) for f in range(k)]
+
+
+def fits_confusion(df: DataFrame, fits: list[Fit], features: list[str], labels: list[str], names: list[list[str]], id_col: str = "row_id", fold: str = "fold", **options) -> DataFrame:
+    """Cells (fold, method, task, clf, n_features, y, p, n) of all fits from one binned table."""
+    table = prepared(df, features, labels, names, id_col, fold)
+    cells = predicted(table, fits, len(features), **options).filter("y >= 0").groupBy("fit", "y", "p").agg(F.count(F.lit(1)).alias("n"))
+    lines = [(i, *fit.name, names[fit.label][:]) for i, fit in enumerate(fits)]
+    known = df.sparkSession.createDataFrame(lines, "fit int, fold int, method string, task string, clf string, n_features int, names array<string>")
+    name = lambda c: F.element_at("names", F.col(c) + 1).alias(c)
+    return cells.join(F.broadcast(known), "fit").select("fold", "method", "task", "clf", "n_features", name("y"), name("p"), "n")  # a line per fit
+
+
+def evaluate_confusion(
     df: DataFrame, sets: dict[str, list[str]], tasks: dict[str, str], classifiers: dict[str, dict], features: list[str], k: int,
-    fold: str = "fold", id_col: str = "row_id", parallelism: int = 4,
+    fold: str = "fold", id_col: str = "row_id",
 ) -> DataFrame:
-    """Cross-validated metrics of many subsets x classifiers x tasks on given folds.
+    """Confusion cells of many subsets x classifiers x tasks on given folds.
 
-    Scaling is fitted on each training part. Every fit is a distributed job and a few of
-    them run side by side; each model leaves only its classes x classes confusion cells,
-    which are scored together. Tasks with fewer than two classes are skipped; an empty set
-    stands for all features.
+    Trees of all subsets, folds and tasks grow from one binned table (they need no scaling). Nearest neighbours and
+    boosted trees run per fold and subset on the scaled training part. Tasks with fewer than two classes are skipped; an
+    empty set stands for all features.
     """
-    from multiprocessing.pool import ThreadPool
-
-    from pyspark import inheritable_thread_target
-
     from telesift.operators.scaling import apply_scaler, fit_scaler_training
 
-    spark = df.sparkSession
+    if unknown := set(classifiers) - {*CLASSIFIERS, "knn"}:
+        raise ValueError(f"unknown classifiers {sorted(unknown)}; known: {sorted([*CLASSIFIERS, 'knn'])}")
     counts = df.agg(*[F.countDistinct(c).alias(t) for t, c in tasks.items()]).first().asDict()
     live = {t: c for t, c in tasks.items() if counts[t] >= 2}
-    names = {t: class_names(df, c) for t, c in live.items()}
-    stats = fit_scaler_training(df, features, k, fold).persist()
-    cells = []
-
-    def cell_rows(pred: DataFrame, f: int, method: str, task: str, clf: str, width: int) -> list[tuple]:
-        return [(f, method, task, clf, width, r["y"], r["p"], r["n"]) for r in confusion(pred, []).collect()]
-
-    for f in range(k):
-        scaled = apply_scaler(df, stats.filter(F.col("eval_fold") == f), features)
-        scaled = scaled.select(id_col, fold, *live.values(), *features).persist()
+    names = {t: class_names(df.filter(F.col(c).isNotNull()), c) for t, c in live.items()}
+    chosen = {m: cols or features for m, cols in sets.items()}
+    fits = [
+        fit
+        for clf in ("rf", "dt") if clf in classifiers
+        for m, cols in chosen.items()
+        for i, t in enumerate(live)
+        for fit in tree_fits(m, t, clf, classifiers[clf], [features.index(c) for c in cols], i, len(names[t]), k)
+    ]
+    keys = ["fold", "method", "task", "clf", "n_features"]
+    parts = [fits_confusion(df, fits, features, list(live.values()), list(names.values()), id_col, fold)] if fits else []
+    single = [c for c in classifiers if c in ("knn", "gbt")]
+    if single:
+        stats = stage(fit_scaler_training(df, features, k, fold), "scalers")
+    for f in range(k if single else 0):
+        scaled = stage(apply_scaler(df, stats.filter(F.col("eval_fold") == f), features).select(id_col, fold, *live.values(), *features), "scaled")
         train, test = scaled.filter(F.col(fold) != f), scaled.filter(F.col(fold) == f)
+        for m, cols in chosen.items():
+            for clf in single:
+                if clf == "knn":
+                    got = clf_knn(train, test, cols, list(live.values()), id_col=id_col, **classifiers[clf])
+                    pairs = {t: got.select(F.col(c).alias("y"), F.col(f"p_{c}").alias("p")) for t, c in live.items()}
+                else:
+                    pairs = {t: predict(train, test, cols, c, clf, names[t], **classifiers[clf]) for t, c in live.items()}
+                for t, pred in pairs.items():
+                    at = [F.lit(v).alias(n) for n, v in zip(keys, (f, m, t, clf, len(cols)), strict=True)]
+                    parts.append(confusion(pred.filter("y IS NOT NULL"), []).select(*at, "y", "p", "n"))
+    return stage(reduce(DataFrame.unionByName, parts), "cells")
+
 
-        def run(job: tuple[str, str]) -> list[tuple]:
-            method, clf = job
-            cols, kw = sets[method] or features, classifiers[clf]
-            if clf == "knn":
-                got = clf_knn(train, test, cols, list(live.values()), id_col=id_col, **kw).persist()
-                pairs = {t: got.select(F.col(c).alias("y"), F.col(f"p_{c}").alias("p")) for t, c in live.items()}
-            else:
-                pairs = {t: predict(train, test, cols, c, clf, names[t], **kw) for t, c in live.items()}
-            return [row for t, pred in pairs.items() for row in cell_rows(pred, f, method, t, clf, len(cols))]
-
-        jobs = [(m, c) for m in sets for c in classifiers]
-        with ThreadPool(min(parallelism, len(jobs))) as pool:
-            for part in pool.map(inheritable_thread_target(spark)(run), jobs):
-                cells += part
-        scaled.unpersist()
-    stats.unpersist()
-    conf = spark.createDataFrame(cells, "fold int, method string, task string, clf string, n_features int, y string, p string, n bigint")
-    return metrics(conf, ["fold", "method", "task", "clf", "n_features"])
+def evaluate_sets(
+    df: DataFrame, sets: dict[str, list[str]], tasks: dict[str, str], classifiers: dict[str, dict], features: list[str], k: int,
+    fold: str = "fold", id_col: str = "row_id",
+) -> DataFrame:
+    """Cross-validated metrics of many subsets x classifiers x tasks on given folds."""
+    return metrics(evaluate_confusion(df, sets, tasks, classifiers, features, k, fold, id_col), ["fold", "method", "task", "clf", "n_features"])

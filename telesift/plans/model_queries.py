@@ -10,6 +10,7 @@ from telesift.operators import explain as X
 from telesift.operators import sampling as M
 from telesift.operators import scaling as S
 from telesift.plans import fixtures as fx
+from telesift.plans.base_queries import folded
 from telesift.plans.cluster_queries import ASSIGNED, EMB_F, _centers
 from telesift.plans.registry import query, r
 from telesift.session import stage
@@ -89,14 +90,30 @@ def _scores(pred):
     return E.metrics(E.confusion(pred, ["fold"]), ["fold"])
 
 
+def _trees(spark, sf, clf: str, k: int = 5):
+    """Confusion cells of one classifier on all features, every fold held out once; trees need no scaling."""
+    folds = M.stratified_folds(fx.flows(spark, sf), "label2", k).select("row_id", "fold", "label2", *FS)
+    return E.evaluate_confusion(stage(folds, "folds"), {"all_features": []}, {"multiclass": "label2"}, {clf: {}}, FS, k)
+
+
 @query("clf_rf")
 def clf_rf(spark, sf):
-    return _scores(E.predict(*_flow_split(spark, sf, "label2"), FS, "label2", "rf", trees=100, depth=8))
+    """Forests of 100 trees grown to purity, five folds."""
+    return E.metrics(_trees(spark, sf, "rf"), ["fold"])
 
 
 @query("clf_dt")
 def clf_dt(spark, sf):
-    return _scores(E.predict(*_flow_split(spark, sf, "label2"), FS, "label2", "dt"))
+    """Trees grown to purity, five folds."""
+    return E.metrics(_trees(spark, sf, "dt"), ["fold"])
+
+
+@query("clf_dt_margins", f"WITH {fx.FLOWS}, {folded(5)} SELECT fold, label2 AS y, count(*) AS n, true AS known FROM folded GROUP BY 1, 2")
+def clf_dt_margins(spark, sf):
+    """Every row of every fold is answered once, with a class that exists."""
+    cells = _trees(spark, sf, "dt")
+    names = F.array(*[F.lit(c) for c in ("AF", "AO", "NF", "NO", "RF", "RO")])
+    return cells.groupBy("fold", "y").agg(F.sum("n").alias("n"), F.min(F.array_contains(names, F.col("p"))).alias("known"))
 
 
 @query("clf_gbt")
@@ -115,13 +132,39 @@ def clf_knn(spark, sf):
     return E.clf_knn(rows.filter("fold <> 0"), rows.filter("fold = 0"), EMB_F, ["label"])
 
 
+WINDOW_F = ["n_all", "n_view", "n_click", "n_error", "value_avg", "value_min", "value_max", "value_std"]
+WINDOW_SETS = {"all_features": [], "values": ["n_all", "value_avg", "value_min", "value_max", "value_std"]}
+WINDOW_CLF = {"rf": {}, "dt": {}, "knn": {}}
+WINDOW_ROWS = f"""{fx.WINDOWS}, named AS (SELECT *, user_id || '|' || date_diff('day', DATE '1970-01-01', CAST(window_start AS DATE)) AS row_id,
+      CASE WHEN n_view > n_click THEN 'view' WHEN n_view < n_click THEN 'click' ELSE 'even' END AS label2 FROM windows), {folded(10, src='named')}"""
+
+
+def _window_folds(spark, sf):
+    rows = fx.windows(spark, sf)
+    kind = F.when(F.col("n_view") > F.col("n_click"), "view").when(F.col("n_view") < F.col("n_click"), "click").otherwise("even")
+    rows = rows.select(F.concat_ws("|", "user_id", F.unix_date(F.to_date("window_start"))).alias("row_id"), "label1", kind.alias("label2"), F.lit("x").alias("one_class"), *WINDOW_F)
+    return stage(M.stratified_folds(rows, "label2", 10), "folds")
+
+
+WINDOW_TASKS = {"binary": "label1", "multiclass": "label2", "skipped": "one_class"}
+
+
 @query("evaluate_sets")
 def evaluate_sets(spark, sf):
-    folds = stage(M.stratified_folds(fx.flows(spark, sf), "label2", 2).withColumn("one_class", F.lit("x")), "folds")
-    return E.evaluate_sets(
-        folds, {"all_features": [], "top3": ["price_ext", "vol_qty", "rate_tax"]},
-        {"binary": "label1", "multiclass": "label2", "skipped": "one_class"}, {"dt": {"depth": 8}, "rf": {"trees": 10, "depth": 8}}, FS, 2,
-    )
+    """Ten folds, two subsets, two tasks: forests of 100 trees and single trees grown to purity, and neighbours."""
+    return E.evaluate_sets(_window_folds(spark, sf), WINDOW_SETS, WINDOW_TASKS, WINDOW_CLF, WINDOW_F, 10)
+
+
+@query(
+    "evaluate_sets_margins",
+    f"""WITH {WINDOW_ROWS}, t AS (SELECT fold, 'binary' AS task, label1 AS y, count(*) AS n FROM folded GROUP BY 1, 3 UNION ALL SELECT fold, 'multiclass', label2, count(*) FROM folded GROUP BY 1, 3)
+    SELECT fold, m.method, task, c.clf, CAST(m.n_features AS INTEGER) AS n_features, y, n FROM t, (VALUES ('all_features', 8), ('values', 5)) AS m(method, n_features), (VALUES ('rf'), ('dt'), ('knn')) AS c(clf)""",
+)
+def evaluate_sets_margins(spark, sf):
+    """Every cell of the comparison answers each row of its fold once."""
+    classifiers = {"rf": {"trees": 3}, "dt": {}, "knn": {}}
+    cells = E.evaluate_confusion(_window_folds(spark, sf), WINDOW_SETS, WINDOW_TASKS, classifiers, WINDOW_F, 10)
+    return cells.groupBy("fold", "method", "task", "clf", "n_features", "y").agg(F.sum("n").alias("n"))
 
 
 # ---------------------------------------------------------------- proxy and attributions
