@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from telesift.functions.exprs import null_safe_join
 from telesift.operators.forest import Fit, predicted, prepared
 from telesift.session import stage
+from telesift.sources.runs import RUN_KEYS, eval_cells, scan_runs, unfinished, write_runs
 
 
 def confusion(pred: DataFrame, keys: list[str], y: str = "y", p: str = "p") -> DataFrame:
@@ -173,12 +174,12 @@ def predict(train: DataFrame, test: DataFrame, features: list[str], label: str,
     return model.transform(assembled(test, features)).select(*keep, F.col(label).alias("y"), name_of.alias("p"))
 
 
-def tree_fits(method: str, task: str, clf: str, options: dict, cols: list[int], label: int, classes: int, k: int) -> list[Fit]:
+def tree_fits(method: str, task: str, clf: str, options: dict, cols: list[int], label: int, classes: int, folds) -> list[Fit]:
     """The fits of one cell of the comparison, one per fold: trees to purity, a root of the features tried per node in a forest."""
     forest = clf == "rf"
     trees, depth = options.get("trees", 100 if forest else 1), options.get("depth")
     tried = max(1, isqrt(len(cols))) if forest else None
-    return [Fit((f, method, task, clf, len(cols)), f, label, classes, tuple(cols), trees, tried, forest, depth) for f in range(k)]
+    return [Fit((f, method, task, clf, len(cols)), f, label, classes, tuple(cols), trees, tried, forest, depth) for f in folds]
 
 
 def fits_confusion(df: DataFrame, fits: list[Fit], features: list[str], labels: list[str], names: list[list[str]], id_col: str = "row_id", fold: str = "fold", **options) -> DataFrame:
@@ -193,9 +194,9 @@ def fits_confusion(df: DataFrame, fits: list[Fit], features: list[str], labels:
 
 def evaluate_confusion(
     df: DataFrame, sets: dict[str, list[str]], tasks: dict[str, str], classifiers: dict[str, dict], features: list[str], k: int,
-    fold: str = "fold", id_col: str = "row_id",
+    fold: str = "fold", id_col: str = "row_id", held_out: list[int] | None = None,
 ) -> DataFrame:
-    """Confusion cells of many subsets x classifiers x tasks on given folds.
+    """Confusion cells of many subsets x classifiers x tasks on given folds (all k of them, or those of `held_out`).
 
     Trees of all subsets, folds and tasks grow from one binned table (they need no scaling). Nearest neighbours and
     boosted trees run per fold and subset on the scaled training part. Tasks with fewer than two classes are skipped; an
@@ -209,19 +210,20 @@ def evaluate_confusion(
     live = {t: c for t, c in tasks.items() if counts[t] >= 2}
     names = {t: class_names(df.filter(F.col(c).isNotNull()), c) for t, c in live.items()}
     chosen = {m: cols or features for m, cols in sets.items()}
+    held = list(range(k)) if held_out is None else held_out
     fits = [
         fit
         for clf in ("rf", "dt") if clf in classifiers
         for m, cols in chosen.items()
         for i, t in enumerate(live)
-        for fit in tree_fits(m, t, clf, classifiers[clf], [features.index(c) for c in cols], i, len(names[t]), k)
+        for fit in tree_fits(m, t, clf, classifiers[clf], [features.index(c) for c in cols], i, len(names[t]), held)
     ]
     keys = ["fold", "method", "task", "clf", "n_features"]
     parts = [fits_confusion(df, fits, features, list(live.values()), list(names.values()), id_col, fold)] if fits else []
     single = [c for c in classifiers if c in ("knn", "gbt")]
     if single:
         stats = stage(fit_scaler_training(df, features, k, fold), "scalers")
-    for f in range(k if single else 0):
+    for f in held if single else []:
         scaled = stage(apply_scaler(df, stats.filter(F.col("eval_fold") == f), features).select(id_col, fold, *live.values(), *features), "scaled")
         train, test = scaled.filter(F.col(fold) != f), scaled.filter(F.col(fold) == f)
         for m, cols in chosen.items():
@@ -243,3 +245,27 @@ def evaluate_sets(
 ) -> DataFrame:
     """Cross-validated metrics of many subsets x classifiers x tasks on given folds."""
     return metrics(evaluate_confusion(df, sets, tasks, classifiers, features, k, fold, id_col), ["fold", "method", "task", "clf", "n_features"])
+
+
+def evaluate_runs(
+    df: DataFrame, root: str, plan: DataFrame, sets: dict[str, list[str]], tasks: dict[str, str], classifiers: dict[str, dict], features: list[str], k: int,
+    at_once: int = 5, **columns,
+) -> DataFrame:
+    """From folds to a run tree that can be resumed: results, F1 of every class and a mark for each run of the plan.
+
+    `plan` has a line per run: its keys, where `fold` is the fold held out. Runs that the tree marks as done are not
+    repeated; `at_once` runs are evaluated together and committed before the next ones. Returns the whole tree as cells.
+    """
+    spark = df.sparkSession
+    todo = sorted((tuple(r) for r in unfinished(plan.select(*RUN_KEYS), root).collect()), key=lambda r: (r[:3], r[4], r[3]))
+    for i in range(0, len(todo), at_once):
+        runs = spark.createDataFrame(todo[i : i + at_once], "dataset string, protocol string, seed int, fold int, variant string")
+        cells = evaluate_confusion(df, sets, tasks, classifiers, features, k, held_out=sorted({r[3] for r in todo[i : i + at_once]}), **columns)
+        keys = ["fold", "method", "task", "clf", "n_features"]
+        every = {t: class_names(df.filter(F.col(c).isNotNull()), c) for t, c in tasks.items()}
+        names = spark.createDataFrame([(t, c) for t, known in every.items() for c in known], "task string, cls string")
+        classes = cells.select(*keys).distinct().join(F.broadcast(names), "task")  # a line per class
+        by_class = per_class_f1(cells, keys, classes).groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("cls", "f1"))), lambda s: s["f1"]).alias("per_class_f1"))
+        scores = metrics(cells, keys).join(by_class, keys)
+        write_runs(runs.join(scores, "fold"), root, runs)
+    return eval_cells(scan_runs(spark, root, "eval.json", require_done=True))

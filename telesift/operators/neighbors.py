@@ -211,7 +211,7 @@ def _block_join(queries: DataFrame, refs: DataFrame, k: int, exclude_self: bool,
 
 def knn_join(
     queries: DataFrame, refs: DataFrame, k: int, id_col: str = "row_id", vec: str = "v", exclude_self: bool = False,
-    cell: int = 512, block: int = 2048, seed=7, watch: dict | None = None,
+    cell: int = 4096, block: int = 2048, seed=7, watch: dict | None = None,
 ) -> DataFrame:
     """(id, ref_id, dist, rank): the k nearest reference rows of each query; ties by reference id.
 

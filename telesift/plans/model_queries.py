@@ -13,7 +13,7 @@ from telesift.plans import fixtures as fx
 from telesift.plans.base_queries import folded
 from telesift.plans.cluster_queries import ASSIGNED, EMB_F, _centers
 from telesift.plans.registry import query, r
-from telesift.session import stage
+from telesift.session import scratch_path, stage
 
 FS = fx.FEATURES
 
@@ -167,6 +167,35 @@ def evaluate_sets_margins(spark, sf):
     return cells.groupBy("fold", "method", "task", "clf", "n_features", "y").agg(F.sum("n").alias("n"))
 
 
+def _chain(spark, sf):
+    """Folds, evaluation and stored tree in one go; four of the ten runs are done by an earlier call."""
+    rows, root = _window_folds(spark, sf), scratch_path(spark, "chain")
+    keys = "dataset string, protocol string, seed int, fold int, variant string"
+    plan = spark.createDataFrame([("windows", "sample_k10", 42, f, "main") for f in range(10)], keys)
+    args = (WINDOW_SETS, {"binary": "label1", "multiclass": "label2"}, {"dt": {}}, WINDOW_F, 10)
+    E.evaluate_runs(rows, root, plan.filter("fold % 3 = 1 OR fold = 0"), *args)
+    return E.evaluate_runs(rows, root, plan, *args)
+
+
+@query(
+    "run_chain",
+    f"""WITH {WINDOW_ROWS}, c AS (SELECT 'binary' AS task, count(DISTINCT label1) AS n FROM folded UNION ALL SELECT 'multiclass', count(DISTINCT label2) FROM folded)
+    SELECT 'windows' AS dataset, 'sample_k10' AS protocol, 42 AS seed, CAST(f AS INTEGER) AS fold, 'main' AS variant, m.method, CAST(m.n_features AS INTEGER) AS n_features, task, 'dt' AS clf, CAST(n AS INTEGER) AS n_classes, true AS consistent
+    FROM c, (SELECT unnest(range(10)) AS f), (VALUES ('all_features', 8), ('values', 5)) AS m(method, n_features)""",
+)
+def run_chain(spark, sf):
+    """Every run of the plan is in the tree once, and its macro F1 is the mean of its stored class values."""
+    mean = F.aggregate("per_class_f1", F.lit(0.0), lambda a, v: a + v) / F.size("per_class_f1")
+    return _chain(spark, sf).select("dataset", "protocol", "seed", "fold", "variant", "method", "n_features", "task", "clf", F.size("per_class_f1").alias("n_classes"), (F.abs(mean - F.col("f1_macro")) < 1e-9).alias("consistent"))
+
+
+@query("run_chain_classes")
+def run_chain_classes(spark, sf):
+    """Mean F1 per class from the tree that the chain stored."""
+    cells = _chain(spark, sf).filter("task = 'multiclass'")
+    return cells.groupBy("method").agg(*[F.avg(F.col("per_class_f1")[i]).alias(c) for i, c in enumerate(("click", "even", "view"))])
+
+
 # ---------------------------------------------------------------- proxy and attributions
 
 

@@ -6,14 +6,16 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_private: dict[str, str] = {}  # of local sessions that name no folder, as in tests
 
 
 def local_session(app: str = "telesift", cpus: int = 8) -> SparkSession:
-    """Session for tests and the local benchmark; a cluster brings its own."""
-    return (
+    """Session for tests and the local benchmark; a cluster brings its own. Its scratch folder is private unless one is configured."""
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(cpus))
@@ -22,18 +24,21 @@ def local_session(app: str = "telesift", cpus: int = 8) -> SparkSession:
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("TELESIFT_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
-        .getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false")
     )
+    if not SparkConf().contains(CHECKPOINT_CONF):
+        builder = builder.config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="telesift-"))
+    return builder.getOrCreate()
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """Shared folder named by the cluster. A private one is made for a local session without it; a cluster must name one."""
+    """The shared folder that the session names for checkpoints; intermediate tables lie there too."""
     root = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(CHECKPOINT_CONF)
+    if not root and spark.sparkContext.master.startswith("local"):
+        app = spark.sparkContext.applicationId
+        root = _private[app] = _private.get(app) or tempfile.mkdtemp(prefix="telesift-")
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="telesift-")
-        spark.conf.set(CHECKPOINT_CONF, root)
+        raise ValueError(f"{CHECKPOINT_CONF} must name a folder that all executors share")
     return root
 
 

@@ -47,31 +47,63 @@ def scan_runs(
     return runs
 
 
-def eval_long(runs: DataFrame) -> DataFrame:
-    """Nested result JSON -> one line per method, task and classifier."""
+def eval_cells(runs: DataFrame) -> DataFrame:
+    """Nested result JSON -> one line per method, task and classifier, with the stored F1 of every class."""
     methods = runs.select(*RUN_KEYS, F.explode(F.from_json("value", EVAL_TYPE)).alias("method", "m"))
     tasks = methods.select(
         *RUN_KEYS, "method", F.col("m.n_features").alias("n_features"), F.explode("m.results").alias("task", "t")
     )
     clfs = tasks.select(*RUN_KEYS, "method", "n_features", "task", F.explode("t").alias("clf", "s"))
-    return clfs.select(*RUN_KEYS, "method", "n_features", "task", "clf", *[F.col(f"s.{m}").alias(m) for m in METRICS])
+    return clfs.select(*RUN_KEYS, "method", "n_features", "task", "clf", *[F.col(f"s.{m}").alias(m) for m in [*METRICS, "per_class_f1"]])
 
 
-def write_runs(ev: DataFrame, root: str, done: DataFrame) -> str:
-    """Store a long result table as a run tree, one eval.json per run and a DONE.json per finished run."""
-    scores = F.struct(*METRICS)
+def eval_long(runs: DataFrame) -> DataFrame:
+    """The long metrics table of a run tree."""
+    return eval_cells(runs).drop("per_class_f1")
+
+
+def per_class_long(runs: DataFrame) -> DataFrame:
+    """The stored F1 of every class: one line per method, task, classifier and class position; results without it have none."""
+    return eval_cells(runs).select(*RUN_KEYS, "method", "n_features", "task", "clf", F.posexplode("per_class_f1").alias("cls", "f1"))
+
+
+def _documents(ev: DataFrame) -> DataFrame:
+    """One eval.json per run from a long result table."""
+    scores = F.struct(*METRICS, *[c for c in ["per_class_f1"] if c in ev.columns])
     clfs = ev.groupBy(*RUN_KEYS, "method", "n_features", "task").agg(
         F.map_from_entries(F.collect_list(F.struct("clf", scores))).alias("t")
     )
     tasks = clfs.groupBy(*RUN_KEYS, "method", "n_features").agg(
         F.map_from_entries(F.collect_list(F.struct("task", "t"))).alias("results")
     )
-    runs = tasks.groupBy(*RUN_KEYS).agg(
+    return tasks.groupBy(*RUN_KEYS).agg(
         F.to_json(
             F.map_from_entries(F.collect_list(F.struct("method", F.struct("n_features", "results"))))
         ).alias("value")
     )
-    marks = done.select(*RUN_KEYS, F.to_json(F.struct("seed", "fold")).alias("value"), F.lit("DONE.json").alias("file"))
-    both = runs.withColumn("file", F.lit("eval.json")).unionByName(marks)
-    both.write.mode("overwrite").partitionBy(*RUN_KEYS, "file").text(root)
+
+
+def _write(files: DataFrame, root: str) -> None:
+    """Files of the runs they name take the place of earlier ones; other runs stay as they are."""
+    files.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*RUN_KEYS, "file").text(root)
+
+
+def write_runs(ev: DataFrame, root: str, done: DataFrame) -> str:
+    """Store a long result table as a run tree, one eval.json per run and a DONE.json per finished run.
+
+    Marks are committed after the results, so a run that is marked is whole; one that was cut off is written again.
+    """
+    _write(_documents(ev).withColumn("file", F.lit("eval.json")), root)
+    _write(done.select(*RUN_KEYS, F.to_json(F.struct("seed", "fold")).alias("value"), F.lit("DONE.json").alias("file")), root)
     return root
+
+
+def unfinished(plan: DataFrame, root: str) -> DataFrame:
+    """The runs of a plan (its run keys) that the tree does not mark as done."""
+    spark = plan.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    marks = files.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/*/*/*/*/*/file=DONE.json"))
+    if not marks:
+        return plan
+    return plan.join(_tree(spark, root, "DONE.json").select(*RUN_KEYS).distinct(), RUN_KEYS, "left_anti")

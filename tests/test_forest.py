@@ -1,11 +1,15 @@
 """Trees of many fits over one binned table: splits against enumeration, both ways of growing against each other."""
 
+import json
+
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from telesift.operators import evaluate as E
 from telesift.operators import forest as Fo
+from telesift.operators.reports import per_class_table
 
 
 def naive_split(x, y, w, classes):
@@ -76,7 +80,7 @@ def test_both_ways_of_growing_agree(table):
     names = ["f0", "f1", "f2", "f3", "f4"]
     labels, classes = ["size", "sign"], [["high", "low", "mid"], ["n", "p"]]
     t = Fo.prepared(table, names, labels, classes)
-    fits = [f for i, c in enumerate(classes) for clf, o in (("rf", {"trees": 3}), ("dt", {}), ("dt", {"depth": 3})) for f in E.tree_fits("all", labels[i], clf, o, [0, 1, 2, 3, 4], i, len(c), 3)]
+    fits = [f for i, c in enumerate(classes) for clf, o in (("rf", {"trees": 3}), ("dt", {}), ("dt", {"depth": 3})) for f in E.tree_fits("all", labels[i], clf, o, [0, 1, 2, 3, 4], i, len(c), range(3))]
     key = lambda rows: {(r["fit"], r["id"]): (r["y"], tuple(np.round(r["votes"], 9))) for r in rows}
     one = key(Fo.votes(t, fits, 5, tasks=3).collect())
     assert len(one) == len(fits) * 300
@@ -94,3 +98,33 @@ def test_comparison_of_sets(table):
     assert min(scores[f, "two", "sign", "dt"] for f in range(3)) > 0.95 and min(scores[f, "all", "size", "rf"] for f in range(3)) > 0.8
     with pytest.raises(ValueError, match="unknown"):
         E.evaluate_confusion(rows, {"all": []}, {"size": "size"}, {"svm": {}}, ["f0"], 3)
+
+
+def test_a_run_that_was_cut_off_goes_on(spark, table, tmp_path, monkeypatch):
+    root, args = f"{tmp_path}/runs", ({"all": [], "two": ["f0", "f2"]}, {"size": "size", "sign": "sign"}, {"dt": {"depth": 4}}, ["f0", "f1", "f2", "f3", "f4"], 3)
+    plan = spark.createDataFrame([("d", "p_k3", 42, f, "main") for f in range(3)], "dataset string, protocol string, seed int, fold int, variant string")
+    done, evaluate = [], E.evaluate_confusion
+
+    def watched(*a, held_out, **kw):
+        if len(done) == 1:
+            raise KeyboardInterrupt
+        done.append(held_out)
+        return evaluate(*a, held_out=held_out, **kw)
+
+    monkeypatch.setattr(E, "evaluate_confusion", watched)
+    with pytest.raises(KeyboardInterrupt):
+        E.evaluate_runs(table, root, plan, *args, at_once=1)
+    done.clear()
+    done.append("go on")
+    monkeypatch.setattr(E, "evaluate_confusion", lambda *a, held_out, **kw: done.append(held_out) or evaluate(*a, held_out=held_out, **kw))
+    got = E.evaluate_runs(table, root, plan, *args, at_once=1).collect()
+    assert done == ["go on", [1], [2]]
+    assert len(got) == 3 * 2 * 2 and all(len(r["per_class_f1"]) == {"size": 3, "sign": 2}[r["task"]] for r in got)
+    assert E.evaluate_runs(table, root, plan, *args).count() == 12 and len(done) == 3
+    # the report equals an aggregate of the files themselves
+    files = duckdb.connect().execute(f"select content from read_text('{root}/*/*/*/*/*/file=eval.json/*.txt')").fetchall()
+    assert len(files) == 3
+    stored = [json.loads(f[0])[m]["results"]["size"]["dt"]["per_class_f1"] for f in files for m in ("all", "two")]
+    rows = spark.createDataFrame([tuple(r[c] for c in ("protocol", "task", "per_class_f1")) for r in got], "protocol string, task string, per_class_f1 array<double>")
+    report = per_class_table(rows.filter("task = 'size'"), ["high", "low", "mid"]).first()
+    assert [report[c] for c in ("high", "low", "mid")] == pytest.approx(np.mean(stored, axis=0))
