@@ -20,8 +20,11 @@ from telesift.session import cut_lineage
 # ---------------------------------------------------------------- fit and assign
 
 
-def kmeans_fit(df: DataFrame, k: int, n_init: int = 5, seed: int = 42, vec: str = "v", max_iter: int = 20) -> tuple[np.ndarray, float]:
-    """Best of n_init k-means fits by training cost; returns the k x d centres and the cost."""
+def kmeans_fit(df: DataFrame, k: int, n_init: int = 5, seed: int = 42, vec: str = "v", max_iter: int = 300, tol: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Best of n_init k-means fits by training cost; returns the k x d centres and the cost.
+
+    A fit ends when no centre moves farther than `tol`; one that has not settled after `max_iter` steps is an error.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
@@ -29,7 +32,9 @@ def kmeans_fit(df: DataFrame, k: int, n_init: int = 5, seed: int = 42, vec: str
     try:
         best = None
         for i in range(n_init):
-            model = KMeans(k=k, seed=seed + i, maxIter=max_iter).fit(data)
+            model = KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=tol).fit(data)
+            if model.summary.numIter >= max_iter:
+                raise RuntimeError(f"k-means did not settle in {max_iter} steps")
             cost = float(model.summary.trainingCost)
             if best is None or cost < best[1]:
                 best = (np.array(model.clusterCenters()), cost)

@@ -34,6 +34,21 @@ def kmeans_fit(spark, sf):
     return spark.createDataFrame(rows, "cluster int, dim int, center double, cost double")
 
 
+@query(
+    "kmeans_fit_check",
+    f"WITH {fx.EMB} SELECT CAST(unnest(range(10)) AS INTEGER) AS cluster, (SELECT count(*) FROM emb) AS n_rows, true AS settled, true AS cost_fits",
+)
+def kmeans_fit_check(spark, sf):
+    """Every centre is the mean of the rows next to it, the clusters share all rows, and the cost is their squared distance."""
+    centers, cost = Cl.kmeans_fit(fx.emb(spark, sf), 10, n_init=5)
+    rows = stage(Cl.assign(fx.emb(spark, sf), centers), "assigned")
+    off = [F.pow(F.avg(F.col("v")[i]) - F.element_at(F.array(*[F.lit(float(c[i])) for c in centers]), F.first("cluster") + 1), 2) for i in range(fx.DIM)]
+    square = lambda i: F.pow(F.col("v")[i] - F.element_at(F.array(*[F.lit(float(c[i])) for c in centers]), F.col("cluster") + 1), 2)
+    total = rows.agg(F.sum(sum((square(i) for i in range(fx.DIM)), F.lit(0.0))).alias("t"), F.count(F.lit(1)).alias("n")).first()
+    settled = rows.groupBy("cluster").agg((F.sqrt(sum(off, F.lit(0.0))) < 1e-4).alias("settled"))
+    return settled.select("cluster", F.lit(total["n"]).cast("bigint").alias("n_rows"), "settled", F.lit(abs(total["t"] - cost) <= 1e-6 * cost).alias("cost_fits"))
+
+
 def _centers(spark, sf) -> np.ndarray:
     """Label means of the embedding table: given centres that SQL can rebuild."""
     rows = fx.emb(spark, sf).groupBy("label").agg(*[F.avg(F.col("v")[i]).alias(f"c{i}") for i in range(fx.DIM)]).orderBy("label").collect()
@@ -166,7 +181,14 @@ def nmi(spark, sf):
     return Cl.nmi(_flow_cells(spark, sf), ["label2"])
 
 
-@query("cluster_accuracy")
+#: The best matching by recursion over the clusters: per set of labels taken (a bit mask) the most rows matched so far.
+@query(
+    "cluster_accuracy",
+    f"""WITH RECURSIVE {ASSIGNED}, lab AS (SELECT label, CAST(c AS INTEGER) AS j FROM cen),
+    cells AS (SELECT a.c, b.j, (SELECT count(*) FROM asg JOIN lab USING (label) WHERE asg.cluster = a.c AND lab.j = b.j) AS n FROM cen a, lab b),
+    dp AS (SELECT 0 AS i, 0 AS mask, CAST(0 AS BIGINT) AS s UNION ALL SELECT i + 1, mask | (1 << j), CAST(max(s + n) AS BIGINT) FROM dp JOIN cells ON cells.c = dp.i WHERE mask & (1 << j) = 0 GROUP BY 1, 2)
+    SELECT {r('max(s) / (SELECT count(*) FROM asg)')} AS accuracy, max(s) AS n_matched, (SELECT count(*) FROM asg) AS n_rows FROM dp""",
+)
 def cluster_accuracy(spark, sf):
     rows = Cl.assign(fx.emb(spark, sf), _centers(spark, sf))
     return Cl.cluster_accuracy(rows, "cluster", "label")

@@ -15,7 +15,8 @@ QUICK = [
     "k_sweep", "metrics", "fidelity", "clf_knn", "eval_plan", "experiment_grid", "clarity", "profile_matrix", "consensus", "group_coverage",
     "selection_frequency", "jaccard_summary", "nogueira", "tost", "compare", "natural_points", "multiseed_pooled", "budget_delta",
     "per_class_table", "extras_summary", "ablation_table", "ablation_paired", "ablation_selection", "step_deltas", "k_sweep_curve",
-    "often_removed", "cross_dataset", "seeds_table",
+    "often_removed", "cross_dataset", "seeds_table", "cluster_accuracy", "kmeans_fit_check", "clf_dt_margins", "tree_shap_sums", "smooth_eigenvectors",
+    "run_chain",
 ]
 
 
