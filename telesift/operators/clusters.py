@@ -14,7 +14,7 @@ from telesift.functions.exprs import log_hypergeometric, null_safe_join, xlogx
 from telesift.functions.linalg import stack
 from telesift.operators.neighbors import distances
 from telesift.operators.sampling import sample_n
-from telesift.session import cut_lineage
+from telesift.session import cut_lineage, stage
 
 
 # ---------------------------------------------------------------- fit and assign
@@ -64,7 +64,7 @@ def relabel_by_size(df: DataFrame, col: str = "cluster") -> DataFrame:
     """Cluster 0 is the largest; equal sizes keep their order."""
     sizes = df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
     order = sizes.select(col, (F.row_number().over(Window.orderBy(F.desc("_n"), col)) - 1).alias("_new"))
-    out = null_safe_join(df, F.broadcast(order), [col])
+    out = null_safe_join(df, stage(order, "cluster-order"), [col])  # its real size decides how it is joined
     return out.withColumn(col, F.col("_new")).drop("_new")
 
 
@@ -241,7 +241,7 @@ def _expected_mi(cont: DataFrame, ks: list[str]) -> DataFrame:
 
 def ami(cont: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Adjusted mutual information with the arithmetic mean of the entropies."""
-    cont, ks = _keyed(cont, keys)
+    cont, ks = _keyed(stage(cont, "contingency"), keys)  # read for every margin
     e = _entropies(cont, ks).join(_expected_mi(cont, ks), ks, "left")
     emi = F.coalesce("emi", F.lit(0.0))
     gap = (F.col("ha") + F.col("hb")) / 2 - emi
@@ -253,7 +253,7 @@ def ami(cont: DataFrame, keys: list[str] = ()) -> DataFrame:
 
 def nmi(cont: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Mutual information over the arithmetic mean of the entropies; 0 where that is 0."""
-    cont, ks = _keyed(cont, keys)
+    cont, ks = _keyed(stage(cont, "contingency"), keys)
     mean = (F.col("ha") + F.col("hb")) / 2
     trivial = (F.col("k_ha") == 1) & (F.col("k_hb") == 1)
     return _entropies(cont, ks).select(
@@ -349,7 +349,7 @@ def cross_stability(labels: DataFrame, id_col: str = "row_id") -> DataFrame:
     ks = labels.groupBy("pipeline").agg(F.countDistinct("lab").alias("k"))
     pairs = pair_agreement(labels, ["seed"], id_col)
     k1, k2 = ks.toDF("p1", "k_a"), ks.toDF("p2", "k_b")
-    out = pairs.join(F.broadcast(k1), "p1").join(F.broadcast(k2), "p2")
+    out = pairs.join(k1, "p1").join(k2, "p2")
     return out.select(
         "p1", "p2", (F.col("seed_1") == F.col("seed_2")).alias("same_seed"), (F.col("k_a") == F.col("k_b")).alias("same_k"), "k_a", "k_b", "ari", "ami"
     )

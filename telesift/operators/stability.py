@@ -107,7 +107,7 @@ def nogueira(sel: DataFrame, d: int, by: list[str] = ()) -> DataFrame:
     """Chance-corrected stability 1 - mean(M/(M-1) p(1-p)) / (k/d (1-k/d)); NULL if undefined."""
     runs = sel.groupBy(*by).agg(F.countDistinct("run_id").alias("m"), F.count(F.lit(1)).alias("total"))
     hits = sel.groupBy(*by, "pos").agg(F.count(F.lit(1)).alias("c"))
-    joined = hits.join(F.broadcast(runs), by) if by else hits.withColumn("_r", runs.select(F.struct("*")).scalar()).select(
+    joined = hits.join(runs, by) if by else hits.withColumn("_r", runs.select(F.struct("*")).scalar()).select(
         "pos", "c", "_r.m", "_r.total"
     )
     p = F.col("c") / F.col("m")
