@@ -82,29 +82,29 @@ def fit_scaler_training(df: DataFrame, features: list[str], k: int, fold: str =
     return _finish(merged, ["eval_fold"])
 
 
-def _scaled(c: str, s: Column) -> Column:
+def _scaled(c: str, s: dict[str, Column]) -> Column:
     x = filled(c)
     return (F.coalesce(finite_or_null(x), s["fmax"]) - s["mean"]) / s["std"]
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, features: list[str], by: list[str] = ()) -> DataFrame:
-    """Clean and standardise. The statistics are pivoted to one row per group.
+    """Clean and standardise.
 
-    Without groups that row is a scalar. With groups it is written out first: Spark then
-    knows its real size and broadcasts it only below its own threshold.
+    Without groups the statistics, one line per feature, become literals of the projection. With groups they are pivoted
+    to one row per group and written out first: Spark then knows their real size and broadcasts them only below its own
+    threshold.
     """
     by = list(by)
-    row = [
-        F.max(F.when(F.col("pos") == i, F.struct("fmax", "mean", "std"))).alias(f"_s{i}") for i in range(len(features))
-    ]
-    wide = stats.groupBy(*by).agg(*row) if by else stats.agg(*row)
-    names = [f"_s{i}" for i in range(len(features))]
+    facts = ("fmax", "mean", "std")
     if by:
-        joined = df.join(stage(wide, "scaler"), by)
-        pick = {f: F.col(n) for f, n in zip(features, names)}
+        row = [F.max(F.when(F.col("pos") == i, F.struct(*facts))).alias(f"_s{i}") for i in range(len(features))]
+        joined = df.join(stage(stats.groupBy(*by).agg(*row), "scaler"), by)
+        pick = {f: {n: F.col(f"_s{i}")[n] for n in facts} for i, f in enumerate(features)}
     else:
-        joined = df.withColumn("_s", wide.select(F.struct(*names).alias("s")).scalar())
-        pick = {f: F.col("_s")[n] for f, n in zip(features, names)}
+        joined = df
+        known = {r["pos"]: r for r in stats.select("pos", *facts).collect()}
+        missing = dict.fromkeys(facts)
+        pick = {f: {n: F.lit(known.get(i, missing)[n]).cast("double") for n in facts} for i, f in enumerate(features)}
     return joined.select(*[_scaled(c, pick[c]).alias(c) if c in pick else F.col(c) for c in df.columns])
 
 
