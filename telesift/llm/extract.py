@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -45,7 +45,7 @@ HINTS = frozenset(
     "disqus replies reply respond discussion widget widgets".split()
 )
 HOLDS = frozenset("article content main post entry story body text page wrapper container".split())
-OUTER = frozenset("html body article main".split())
+OUTER = frozenset("html body main".split())
 MOST_PAGES, STRONGEST, WEAKEST, UNSEEN = 2000, 2.5, 0.01, 0.3
 DEFAULT = {"word@in": 1.0, "word@out": -1.0, "word@none": 1.0}
 
@@ -78,19 +78,31 @@ def left_out(name: str, attributes: str, marked: bool) -> bool:
 def tokens(page: str) -> list[tuple[str, str, bool, int]]:
     """(kind, context, left out, block) with text tokens as ("=text", ...) and tags as (name, ...); contexts: in, out, none.
 
-    `block` numbers the blocks of the page, so that texts of one block can be joined again.
+    `block` numbers the blocks of the page, so that texts of one block can be joined again. A page has contexts if an
+    article or main element, as parsed, holds text that is not left out: marks in comments or scripts, empty ones, and
+    articles that are reader comments by their class do not count.
     """
-    has_mark = re.search(r"<(?:article|main)[\s>]", page, re.I) is not None
-    out: list[tuple[str, str, bool, int]] = []
+    said: list[tuple[str, bool, bool, int]] = []
     stack: list[tuple[str, bool, bool]] = []  # name, left out, inside a mark
+    places: dict[str, list[int]] = defaultdict(list)  # where in the stack each name is open; "" for blocks
     at, block = 0, 0
 
     def say(kind: str) -> None:
         marked, gone = (stack[-1][2], stack[-1][1]) if stack else (False, False)
-        out.append((kind, ("in" if marked else "out") if has_mark else "none", gone, block))
+        said.append((kind, marked, gone, block))
+
+    def push(name: str, gone: bool, marked: bool) -> None:
+        places[name].append(len(stack))
+        if name in BLOCKS:
+            places[""].append(len(stack))
+        stack.append((name, gone, marked))
 
     def close(depth: int) -> None:
-        del stack[depth:]
+        while len(stack) > depth:
+            name = stack.pop()[0]
+            places[name].pop()
+            if name in BLOCKS:
+                places[""].pop()
 
     while True:
         m = TAG.search(page, at)
@@ -100,7 +112,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, int]]:
         elif text:
             say("= ")
         if not m:
-            return out
+            break
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
@@ -112,15 +124,12 @@ def tokens(page: str) -> list[tuple[str, str, bool, int]]:
         if name == "br":
             say("= ")
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if depth is not None:
-                close(depth)
+            if places[name]:
+                close(places[name][-1])
             say(name)
             continue
-        if name in BLOCKS:  # a block ends an open paragraph and what is open inside it
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in BLOCKS), None)
-            if depth is not None and stack[depth][0] == "p":
-                close(depth)
+        if name in BLOCKS and places[""] and stack[places[""][-1]][0] == "p":  # a block ends an open paragraph and what is open inside it
+            close(places[""][-1])
         if name in ("li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == name:
             close(len(stack) - 1)
         gone, marked = (stack[-1][1], stack[-1][2]) if stack else (False, False)
@@ -131,8 +140,10 @@ def tokens(page: str) -> list[tuple[str, str, bool, int]]:
         elif name in VOID or m[3].rstrip().endswith("/") and name in ("svg", "path"):
             say(name)
         else:
-            stack.append((name, gone or left_out(name, m[3], marked), marked or name in MARKS))
+            push(name, gone or left_out(name, m[3], marked), marked or name in MARKS)
             say(name)
+    has_mark = any(marked and not gone and kind[0] == "=" and kind != "= " for kind, marked, gone, _ in said)
+    return [(kind, ("in" if marked else "out") if has_mark else "none", gone, at_block) for kind, marked, gone, at_block in said]
 
 
 def learned(pages: DataFrame, most_pages: int = MOST_PAGES) -> dict[str, float]:
@@ -148,7 +159,7 @@ def learned(pages: DataFrame, most_pages: int = MOST_PAGES) -> dict[str, float]:
             for page in batch.column("html").to_pylist():
                 for kind, context, gone, _ in tokens(page):
                     text = kind[0] == "="
-                    if not (text and gone):
+                    if context != "none" and not (text and gone):
                         met["word" if text else kind, context == "in"] += len(kind[1:].split()) if text else 1
         keys = list(met)
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([met[k] for k in keys], pa.int64())], names=["token", "inside", "n"])

@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -158,3 +159,24 @@ def test_all_three_limits_hold(limits, cut):
     assert sum(n for s in by.values() for n, _ in s) == sum(x[3] for x in items)
     assert all(sum(n for n, _ in s) <= limits[0] and len(s) <= limits[1] for s in by.values())
     assert all(sum(x for _, x in s) <= limits[2] + (1 if cut else 0) for s in by.values())
+
+
+BODY = " ".join(f"word{i}" for i in range(60))
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><!-- <main> --><div><p>{BODY}</p></div></body>",
+    f"<body><script>var a='<main>'</script><p>{BODY}</p></body>",
+    f"<body><main></main><div><p>{BODY}</p></div></body>",
+    f"<body><div><p>{BODY}</p></div><article class='comment'><p>nice post, thanks</p></article></body>",
+    f"<body><div class='comments'><article>first!</article></div><div><p>{BODY}</p></div></body>",
+])
+def test_marks_are_those_of_parsed_elements(page):
+    assert extract.main_text(page, dict(extract.DEFAULT)) == BODY
+
+
+def test_very_long_pages_take_linear_time():
+    start = time.time()
+    assert extract.main_text("<div>" * 20_000 + "<p>x y</p>" + "</x>" * 20_000, dict(extract.DEFAULT)) in ("", "x y")
+    assert extract.main_text("<b>" * 20_000 + "<p>x y</p>" * 2_000, dict(extract.DEFAULT)) is not None
+    assert time.time() - start < 5
