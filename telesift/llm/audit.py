@@ -24,15 +24,13 @@ from itertools import permutations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telesift.llm.common import WORD, read, staged
+from telesift.llm.common import BITS, WORD, bit_table, perhaps_in, read, staged
 from telesift.llm.registry import query
 
 FILTERS = "ABCDE"
 BIT = {name: 1 << i for i, name in enumerate(FILTERS)}
 #: A digest with more than 1 / SHARES of all rows is dealt over blocks of about that many rows.
 SHARES = 1024
-#: Size of the bit table that keeps unrepeated texts where they are (2 MB).
-BITS = 1 << 24
 
 
 def text_failures(text: Column) -> Column:
@@ -51,14 +49,6 @@ def named(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.coalesce("lang", F.lit("")).alias("part"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("digest"))
 
 
-def bit_table(keys: DataFrame, key: str) -> Column:
-    """A table of BITS bits with that of every key set, as one array of BITS / 64 numbers whatever the number of keys."""
-    at = F.pmod(F.xxhash64(key), F.lit(BITS))
-    places = keys.select(at.alias("at")).selectExpr("at div 64 as id", "shiftleft(1L, cast(at % 64 as int)) as bit").groupBy("id").agg(F.bit_or("bit").alias("bits"))
-    dense = keys.sparkSession.range(BITS // 64).join(places, "id", "left").agg(F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))).alias("all"))
-    return dense.select(F.col("all.bits")).scalar()
-
-
 def copies(docs: DataFrame, digests: DataFrame) -> DataFrame:
     """(doc_id, part, digest) of the rows that have the text of a smaller id; `digests` holds (digest, doc_id) of all rows.
 
@@ -70,9 +60,7 @@ def copies(docs: DataFrame, digests: DataFrame) -> DataFrame:
     total = digests.agg(F.count("*")).scalar()
     entries = repeated.where(F.col("n") * SHARES > total).agg(F.collect_list(F.struct("digest", F.ceil(F.col("n") * SHARES / total).cast("int").alias("blocks"))).alias("e"))
     blocks = F.coalesce(F.element_at(entries.select(F.map_from_entries("e")).scalar(), F.col("digest")), F.lit(1))
-    at = F.pmod(F.xxhash64("digest"), F.lit(BITS))
-    word = F.element_at(bit_table(repeated, "digest"), (F.floor(at / 64) + 1).cast("int"))
-    rows = named(docs).where(F.getbit(word, (at % 64).cast("int")) == 1)
+    rows = named(docs).where(perhaps_in(bit_table(repeated, F.xxhash64("digest"), BITS), F.xxhash64("digest"), BITS))
     first = rows.groupBy("digest", "text").agg(F.min("doc_id").alias("first"))
     first = first.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select(*[F.col(c).alias(f"_{c}") for c in ("digest", "text", "block", "first")])
     later = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), blocks).cast("int"))

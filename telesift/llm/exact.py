@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telesift.llm.common import read, staged, without
+from telesift.llm.common import read, settled, staged, without
 from telesift.llm.registry import query
 
 LEAST_CHUNK, MOST_CHUNK = 1536, 8192
@@ -53,13 +53,14 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that stay, one row for each distinct text."""
-    found = staged(duplicates(docs), "duplicates")
+    found = settled(lambda: duplicates(docs), "duplicates")
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    left = without(docs, found.where(~F.col("kept")).select("doc_id", "text_sha256").distinct(), F.col("doc_id"), digest)
-    # rows that are repeated with their id: only these few move again
+    # rows that are repeated with their id are taken out as well, and one of each is put back: only these few move
     twice = found.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "text_sha256")
-    again = without(left, twice, F.col("doc_id"), digest, how="left_semi").dropDuplicates(["doc_id", "text"])
-    return without(left, twice, F.col("doc_id"), digest).unionByName(again)
+    twice = staged(twice, "repeated-rows")
+    gone = staged(found.where(~F.col("kept")).select("doc_id", "text_sha256").unionByName(twice).distinct(), "dropped-rows")
+    again = without(docs, twice, F.col("doc_id"), digest, how="left_semi").dropDuplicates(["doc_id", "text"])
+    return without(docs, gone, F.col("doc_id"), digest).unionByName(again)
 
 
 SQL = """

@@ -18,7 +18,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telesift.functions.hashing import digest, uniform
-from telesift.llm.common import WORD, ordinals, packed, read, staged
+from telesift.llm.common import WORD, ordinals, packed, read, settled, staged
 from telesift.llm.registry import query
 
 SEED = "mix-1"
@@ -83,7 +83,8 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
 
     A document of size 0 has no words to take and appears in no mix.
     """
-    chosen = mix(docs, **options).groupBy(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "size").agg(F.sum("taken").alias("taken"), F.count("*").alias("rows"))
+    key = [F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "size"]
+    chosen = settled(lambda: mix(docs, **options).groupBy(*key).agg(F.sum("taken").alias("taken"), F.count("*").alias("rows")), "mix-chosen")
     # rows that are repeated with their id share what the mix takes of them
     chosen = chosen.where("taken > 0").withColumn("taken", F.ceil(F.col("taken") / F.col("rows")))
     rows = packed(docs, key=F.col("doc_id"), key_hash=F.xxhash64("text")).join(chosen, F.col("key").eqNullSafe(F.col("id")) & (F.col("key_hash") == F.col("hash")))

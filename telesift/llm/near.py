@@ -34,7 +34,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from telesift.llm.bytehash import BLANK, CASELESS, Rolling, bitmap, maybe_in, mix, text_bytes
-from telesift.llm.common import keep_rate, portions, read, released, staged, without
+from telesift.llm.common import keep_rate, portions, read, released, settled, staged, tidied, without
 from telesift.llm.registry import query
 
 SHINGLE, SIMILARITY = 5, 80  # words; hundredths
@@ -157,7 +157,7 @@ def sets_info(docs: DataFrame, n: int, rate: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(ids, pa.int64()), pa.array(some, pa.list_(pa.int64())), *map(pa.array, np.array(bits, np.int64).reshape(-1, len(LONGS)).T.copy())], names=["doc_id", "text_hash", "n_shingles", "class", "sampled", *LONGS])
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, class long, sampled array<long>, " + ", ".join(f"{b} long" for b in LONGS))
+    return rows.mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text_hash long, n_shingles long, class long, sampled array<long>, " + ", ".join(f"{b} long" for b in LONGS))
 
 
 def shown_cells(docs: DataFrame, common: np.ndarray, n: int, similarity: int) -> DataFrame:
@@ -179,7 +179,7 @@ def shown_cells(docs: DataFrame, common: np.ndarray, n: int, similarity: int) ->
             if cells:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(cells).view(np.int64)), pa.array(np.concatenate(classes))], names=["sketch", "class"])
 
-    return docs.select("text").mapInArrow(run, "sketch long, class long")
+    return docs.select("text").mapInArrow(tidied(run), "sketch long, class long")
 
 
 def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -194,7 +194,7 @@ def bodies(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").select("*", F.xxhash64(F.xxhash64("doc_id", "text_hash")).alias("h"))
-    near = rows.mapInArrow(run, f"doc_id {kind}, text_hash long, text string")
+    near = rows.mapInArrow(tidied(run), f"doc_id {kind}, text_hash long, text string")
     w = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "class")
     return near.join(w, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("class", "text")
 
@@ -213,7 +213,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, similarity: int) -> Dat
                     linked.append(same and 100 * common >= similarity * (len(a) + len(b) - common))
                 yield small.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "text_a", "text_b").mapInArrow(tidied(run), "a long, b long")
 
 
 def connected(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -316,7 +316,7 @@ def components(docs: DataFrame, n: int = SHINGLE, similarity: int = SIMILARITY)
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """One document of each component stays: that of the smallest id. Texts without words all stay."""
-    gone = staged(components(docs).where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near-gone")
+    gone = settled(lambda: components(docs).where(~F.col("kept")).select("doc_id", "text_hash").distinct(), "near-gone")
     return without(docs, gone, F.col("doc_id"), F.xxhash64("text"))
 
 

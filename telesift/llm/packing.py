@@ -24,14 +24,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from telesift.llm.common import portions, read
+from telesift.llm.common import give_back, portions, read, tidied
 from telesift.llm.registry import query
 
 END = 2
 MOST_TOKENS, MOST_SEGMENTS, MOST_LOSS = 4096, 1024, 4096
 CACHED_WORDS = 700_000
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, loss_tokens long, sequence_id long, offset long"
-_words: dict[str, dict[str, bytes]] = {}  # per worker process and vocabulary: ids of words met before
 
 
 class Words:
@@ -40,7 +39,7 @@ class Words:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.cache = _words.setdefault(path, {})
+        self.cache: dict[str, bytes] = {}  # ids of words met before
         self.model = Tokenizer.from_file(path)
         self.ends = np.zeros(self.model.get_vocab_size(), bool)
         for token, i in self.model.get_vocab().items():
@@ -190,6 +189,7 @@ def pack(
                 items.append(rest)
             rows.extend(packer.pack(items))
             yield table(rows)
+            give_back()
         yield table(list(packer.finish()))
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
@@ -198,7 +198,7 @@ def pack(
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=names)
 
     bearing = F.lit(1.0) if loss is None else F.coalesce(loss.cast("double"), F.lit(1.0))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bearing.alias("bearing")).mapInArrow(run, PIECE)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", bearing.alias("bearing")).mapInArrow(tidied(run), PIECE)
 
 
 @query("op7_packing")

@@ -95,3 +95,40 @@ def test_pipeline_matches_a_plain_version(spark, sf):
     pieces = corpus_pipeline.run(spark, sf).collect()
     check_pieces([(r.doc_id, r.text) for r in mixed], pieces)
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+LABELS = "doc_id long, quality int, toxic int, text string"
+
+
+def test_pipeline_on_odd_rows(spark, odd, tmp_path):
+    """Nulls, empty and very long texts, repeated rows and clashing columns pass through all stages."""
+    sf = str(tmp_path)
+    odd.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0, "x"), (1, None, 1, "x"), (None, 1, 1, "x"), (7, 1, None, None), (99, 0, 1, "")], LABELS).write.parquet(f"{sf}/labels.parquet")
+    stage, rows = spark.read.parquet(f"{sf}/documents.parquet"), [r.asDict() for r in odd.collect()]
+    for i, (name, f) in enumerate(corpus_pipeline.STAGES[:-1]):
+        f(spark, stage, sf).write.parquet(f"{sf}/stage{i}")
+        stage = spark.read.parquet(f"{sf}/stage{i}")
+        assert stage.columns == odd.columns, name
+        kept = [r.asDict() for r in stage.collect()]
+        if i == 0:
+            texts = {r["text"] or "" for r in kept}
+            rows = [r for r in rows if (r["text"] or "") in texts]
+        if i == 1:
+            assert sorted(r["text"] or "" for r in kept) == sorted({r["text"] or "" for r in rows})
+            for r in kept:
+                alike = [x["doc_id"] for x in rows if (x["text"] or "") == (r["text"] or "") and x["doc_id"] is not None]
+                assert r["doc_id"] == max(alike, default=None)
+        if i == 2:
+            want = brute_components([(r["doc_id"], r["text"]) for r in before])
+            assert {r["doc_id"] for r in kept} == {c for _, _, c in want}
+        before = kept
+    pieces = corpus_pipeline.run(spark, sf).collect()
+    check_pieces([(r["doc_id"], r["text"]) for r in before], pieces)
+
+
+def test_pipeline_on_empty_tables(spark, empty, tmp_path):
+    sf = str(tmp_path)
+    empty.write.parquet(f"{sf}/documents.parquet")
+    spark.createDataFrame([], LABELS).write.parquet(f"{sf}/labels.parquet")
+    assert corpus_pipeline.run(spark, sf).count() == 0
