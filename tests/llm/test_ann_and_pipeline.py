@@ -55,6 +55,18 @@ def test_recall_with_unequal_norms_and_many_copies(spark):
     assert recall(found.collect(), np.arange(3000), vectors, np.arange(0, 3000, 50)) >= 0.9
 
 
+def test_recall_in_tight_clusters_and_with_far_apart_norms(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(20, 16))
+    tight = centres[rng.integers(0, 20, 1500)] + 0.01 * rng.normal(size=(1500, 16))
+    tailed = rng.normal(size=(1500, 16)) * np.exp(2 * rng.normal(size=(1500, 1)))
+    tailed /= np.abs(tailed).max()
+    for vectors in (tight, tailed):
+        t = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+        found = ann.nearest(t, t.where("vec_id % 20 = 0"))
+        assert recall(found.collect(), np.arange(1500), vectors, np.arange(0, 1500, 20)) >= 0.95
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0]), (None, [1.0, 1.0]), (8, [0.5, 0.5]), (8, [0.5, 0.5]), (9, [])]
