@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from telesift.operators import clusters as Cl
 from telesift.operators import evaluate as E
 from telesift.operators import explain as X
 from telesift.operators import lockstep as L
@@ -357,3 +358,16 @@ def test_run_tree_in_plain_folders(spark, tmp_path):
     assert [(r["dataset"], r["protocol"], r["seed"], r["fold"], r["variant"]) for r in runs.collect()] == [("flows", "sample_k10", 42, 0, "main")]
     long = R.eval_long(R.scan_runs(spark, str(tmp_path), "eval.json"))
     assert long.count() == 4 and long.filter("n_features = 3 AND f1_macro = 0.5").count() == 4
+
+
+def test_slow_kmeans_goes_on_until_it_settles(spark):
+    """Evenly spread rows move their centres for more than 300 steps."""
+    x = 1000 * ((np.arange(20_000) * 0.6180339887498949) % 1)
+    df = spark.createDataFrame([([float(v)],) for v in x], "v array<double>").coalesce(2)
+    centers, cost = Cl.kmeans_fit(df, 25, n_init=1, seed=43)
+    gap = np.abs(x[:, None] - centers[:, 0])
+    lab = gap.argmin(axis=1)
+    means = np.bincount(lab, x, 25) / np.bincount(lab, minlength=25)
+    assert np.allclose(means, centers[:, 0], rtol=0, atol=1e-4) and np.isclose(cost, (gap.min(axis=1) ** 2).sum(), rtol=1e-6)
+    with pytest.raises(RuntimeError, match="did not settle"):
+        Cl.kmeans_fit(df, 25, n_init=1, seed=43, max_iter=3)
