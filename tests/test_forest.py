@@ -128,3 +128,37 @@ def test_a_run_that_was_cut_off_goes_on(spark, table, tmp_path, monkeypatch):
     rows = spark.createDataFrame([tuple(r[c] for c in ("protocol", "task", "per_class_f1")) for r in got], "protocol string, task string, per_class_f1 array<double>")
     report = per_class_table(rows.filter("task = 'size'"), ["high", "low", "mid"]).first()
     assert [report[c] for c in ("high", "low", "mid")] == pytest.approx(np.mean(stored, axis=0))
+
+
+def test_orders_and_histograms_find_the_same_splits(monkeypatch):
+    rng = np.random.default_rng(9)
+    x, y, w = rng.integers(0, 30, (5000, 3)).astype(np.uint8), rng.integers(0, 4, 5000), rng.integers(1, 3, 5000).astype(float)
+    x[:, 2] = 7  # nothing to split
+    fit = Fo.Fit(("t",), 0, 0, 4, (0, 1, 2))
+    for m in (1, 60, 1500):  # more nodes than a 16-bit key holds beside the bins
+        node, got = rng.integers(0, m, 5000), []
+        for ratio in (0, 10**9):
+            monkeypatch.setattr(Fo, "RATIO", ratio)
+            got.append(Fo.best_splits(fit, Fo.mixed(np.arange(m)), node, x, y, w))
+        assert (got[0][0] == got[1][0]).all() and (got[0][1] == got[1][1]).all()
+        value = x[:, 0].astype(np.int64)
+        assert (Fo.sorted_order(node, value, m) == np.argsort(node * 256 + value, kind="stable")).all()
+
+
+kept = Fo._with_leaves
+
+
+def test_batches_are_joined_and_training_rows_travel_without_id(table, monkeypatch):
+    """Small batches are joined before they are counted, and training rows travel without their id."""
+    names, calls = ["f0", "f1", "f2", "f3", "f4"], []
+    t = Fo.prepared(table, names, ["sign"], [["n", "p"]])
+    fits = E.tree_fits("all", "sign", "dt", {}, [0, 1, 2], 0, 2, range(3))
+    batches = t.select("row", "fold", "y", "bins").toArrow().combine_chunks().to_batches(max_chunksize=7)
+    assert [b.num_rows for b in Fo.blocks(iter(batches), 300)] == [301, 301, 298]
+    cut = batches[3].slice(2, 4)
+    assert (Fo.cells_in(cut.column("bins"), 5) == Fo.cells_of(cut.column("bins").to_pylist(), 5)).all()
+    monkeypatch.setattr(Fo, "_with_leaves", lambda routed, *a: calls.append(routed) or kept(routed, *a))
+    assert Fo.votes(t, fits, 5, small=50).count() == 900
+    assert calls[0].filter("held = (id IS NULL)").count() == 0
+    sent = calls[0].groupBy("held").count().collect()
+    assert {r["held"]: r["count"] for r in sent}[True] == 900
