@@ -376,3 +376,39 @@ def test_slow_kmeans_goes_on_until_it_settles(monkeypatch):
     assert len(steps) > 300 and model.done
     lab = np.abs(x[:, None] - model.centers[:, 0]).argmin(axis=1)
     assert np.allclose(np.bincount(lab, x, 25) / np.bincount(lab, minlength=25), model.centers[:, 0], rtol=0, atol=1e-4)
+
+
+def test_rows_between_equal_centres_count_once():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(1500, 3))
+    centers = rng.normal(size=(4, 5, 3))
+    centers[1, 4] = centers[1, 2]  # equal centres: the first one gets the rows
+    x[7] = (centers[2, 0] + centers[2, 1]) / 2
+    keep = np.array([[1, 1, 1], [1, 1, 1], [0, 1, 1], [1, 0, 0]], float)
+    n, cost, sums = L._sums(x, centers, keep)
+    gaps = L._gaps(x, centers, keep)
+    for i in range(4):
+        d = (((x[:, None, :] - centers[i][None]) * keep[i]) ** 2).sum(axis=2)
+        lab = d.argmin(axis=1)
+        if i == 1:
+            assert n[i, 4] == 0
+        assert n[i].sum() == len(x) and np.abs(n[i] - np.bincount(lab, minlength=5)).max() <= 1
+        assert cost[i] == pytest.approx(d.min(axis=1).sum()) and np.allclose(gaps[:, i], d.min(axis=1))
+        assert np.allclose(sums[i].sum(axis=0), x.sum(axis=0))
+
+
+def test_starts_of_all_k_are_drawn_together(spark):
+    df = points(spark, np.random.default_rng(5).normal(size=(200, 2))).selectExpr("0 AS part", "v", "xxhash64(row_id) AS row_hash").persist()
+    model = lambda k, r: L.Model(0, np.ones(2, bool), k, restart=r)
+    apart = [L.seed_many(df, [model(k, r)], 7)[0].centers for r in (0, 1) for k in (2, 5, 3)]
+    models = [model(k, r) for r in (0, 1) for k in (2, 5, 3)]
+    held, sent = spark.sparkContext.broadcast, []
+    spark.sparkContext.broadcast = lambda v: sent.append(len(v)) or held(v)
+    try:
+        together = L.seed_many(df, models, 7)
+    finally:
+        del spark.sparkContext.broadcast
+    assert sent == [2] * 5  # one race per restart in every step
+    assert all(a is b for a, b in zip(together, models, strict=True))
+    assert [m.centers.tolist() for m in together] == [c.tolist() for c in apart]
+    assert [len(m.centers) for m in together] == [2, 5, 3] * 2
