@@ -412,3 +412,26 @@ def test_starts_of_all_k_are_drawn_together(spark):
     assert all(a is b for a, b in zip(together, models, strict=True))
     assert [m.centers.tolist() for m in together] == [c.tolist() for c in apart]
     assert [len(m.centers) for m in together] == [2, 5, 3] * 2
+
+
+@pytest.mark.parametrize("far", [0.0, 1e9, 1e200])
+def test_nearest_pairs_by_product_are_those_of_direct_differences(far, monkeypatch):
+    rng = np.random.default_rng(8)
+    x = np.round(rng.normal(size=(300, 6)), 1) + far
+    y = np.vstack([x[:150], x[:50], np.round(rng.normal(size=(90, 6)), 1) + far])  # equal rows and equal distances
+    reach, own = np.where(np.arange(300) % 3 == 0, 2.0, np.inf), np.where(np.arange(300) < 150, np.arange(300), -1)
+    d = N.distances(x, y)
+    d[np.arange(150), np.arange(150)] = np.inf
+    d[d > reach[:, None]] = np.inf
+    direct = []
+    monkeypatch.setattr(N, "distances", lambda a, b: direct.append(len(a)) or np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2)))
+    for cells in (1000, 2_000_000):
+        got: dict = {}
+        for i, j, v in zip(*N.nearest_pairs(x, y, 4, reach, own, cells), strict=True):
+            got.setdefault(int(i), []).append((int(j), round(float(v), 9)))
+        for i in range(300):
+            order = [int(j) for j in np.argsort(d[i], kind="stable")[:4] if np.isfinite(d[i, j])]
+            assert [v for _, v in got.get(i, [])] == [round(float(d[i, j]), 9) for j in order]
+            if far == 0.0 or far == 1e200:
+                assert [j for j, _ in got.get(i, [])] == order
+    assert bool(direct) == (far == 1e200)  # only what the product cannot hold is compared directly
