@@ -435,3 +435,32 @@ def test_nearest_pairs_by_product_are_those_of_direct_differences(far, monkeypat
             if far == 0.0 or far == 1e200:
                 assert [j for j, _ in got.get(i, [])] == order
     assert bool(direct) == (far == 1e200)  # only what the product cannot hold is compared directly
+
+
+def test_batched_digests_are_md5_for_texts_of_any_length():
+    import hashlib
+
+    from telesift.functions.hashing import heads
+
+    starts = [("42|" + "x" * n + str(i)).encode() for n in (0, 1, 2, 3, 31, 47, 60) for i in range(150)] + [b""]
+    ends = [b"", b"|a|u", b"|rate_discount|v"]
+    got = heads(starts, ends)
+    for j, e in enumerate(ends):
+        assert got[j].tolist() == [int.from_bytes(hashlib.md5(s + e).digest()[:8]) for s in starts]
+
+
+def test_batched_draws_are_those_of_the_expressions(spark):
+    """Noise, dropout and masks take their draws in batches; null, empty and repeated keys draw what the expressions draw."""
+    from telesift.functions.hashing import normal, uniform
+
+    rows = [(str(i), 1.0, 2.0 * i) for i in range(300)] + [(None, 3.0, None), ("", 1.0, 1.0), ("é" * 40, 5.0, 1.0), ("7", 1.0, 14.0)]
+    df = V.expand_views(spark.createDataFrame(rows, "row_id string, x double, y double"))
+    key = [F.col("row_id"), F.col("view")]
+    noisy = V.noise(df, ["x", "y"])
+    assert "ArrowEvalPython" in noisy._jdf.queryExecution().toString()
+    both = ("row_id", "view", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+    want = df.select("row_id", "view", *[(F.col(c) + F.lit(0.05) * normal(42, *key, c)).alias(c) for c in ("x", "y")])
+    assert sorted(map(str, noisy.select(*both).collect())) == sorted(map(str, want.select(*both).collect()))
+    for got, kind, p in ((V.feature_dropout(df, ["x", "y"]).select("row_id", "view", "x", "y"), "d", 0.1), (V.independent_mask(df, ["x", "y"], 4).select("row_id", "view", "x", "y"), "i", 0.25)):
+        want = df.select("row_id", "view", *[F.when(uniform(42, *key, c, kind) >= p, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("x", "y")])
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
