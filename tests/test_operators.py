@@ -1,6 +1,7 @@
 """Invariants and brute-force checks of the operators that SQL cannot express."""
 
 import json
+from datetime import datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -464,3 +465,12 @@ def test_batched_draws_are_those_of_the_expressions(spark):
     for got, kind, p in ((V.feature_dropout(df, ["x", "y"]).select("row_id", "view", "x", "y"), "d", 0.1), (V.independent_mask(df, ["x", "y"], 4).select("row_id", "view", "x", "y"), "i", 0.25)):
         want = df.select("row_id", "view", *[F.when(uniform(42, *key, c, kind) >= p, F.col(c)).otherwise(F.lit(0.0)).alias(c) for c in ("x", "y")])
         assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """A task of a fit holds a bounded number of rows, however few files they come from."""
+    monkeypatch.setattr(E, "TASK_ROWS", 100)
+    rows = spark.range(1000, numPartitions=2)
+    got = E.dealt(rows)
+    assert got.rdd.getNumPartitions() == 10 and got.count() == 1000
+    assert E.dealt(spark.range(100, numPartitions=2)).rdd.getNumPartitions() == 2
