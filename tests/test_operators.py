@@ -474,3 +474,24 @@ def test_training_rows_are_dealt_by_their_number(spark, monkeypatch):
     got = E.dealt(rows)
     assert got.rdd.getNumPartitions() == 10 and got.count() == 1000
     assert E.dealt(spark.range(100, numPartitions=2)).rdd.getNumPartitions() == 2
+
+
+def _counted(df, seen):
+    def run(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    return df.mapInPandas(run, df.schema)
+
+
+def test_the_first_time_is_read_once(spark):
+    """Blocks of time are counted from a literal, so a job on them does not read the rows a second time."""
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.createDataFrame([(i, datetime(2024, 3, 1) + timedelta(seconds=50 * i)) for i in range(40)] + [(40, None)], "row_id int, ts timestamp")
+    got = M.group_time(_counted(rows, seen), seconds=300)
+    found = {r.row_id: r.grp for r in got.collect()}
+    assert seen.value == 82
+    assert [r.grp for r in got.collect()].count("0") == 6 and found[39] == "6" and found[40] is None
+    assert seen.value == 123
+    assert M.group_time(rows.limit(0)).count() == 0
