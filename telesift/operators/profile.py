@@ -89,11 +89,13 @@ def quality_counts(df: DataFrame, features: list[str]) -> DataFrame:
     )
 
 
+#: Statistics that tell constant columns.
+CONSTANCY = {"sd": lambda f: F.stddev_samp(present(f)), "constant": lambda f: F.min(present(f))}
+
+
 def zero_variance(df: DataFrame, features: list[str]) -> DataFrame:
     """Features whose sample deviation is 0, with the constant they hold."""
-    stats = feature_stats(
-        df, features, {"sd": lambda f: F.stddev_samp(present(f)), "constant": lambda f: F.min(present(f))}
-    )
+    stats = feature_stats(df, features, CONSTANCY)
     return stats.filter("sd = 0").select("pos", "feature", "constant")
 
 

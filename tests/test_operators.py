@@ -495,3 +495,16 @@ def test_the_first_time_is_read_once(spark):
     assert [r.grp for r in got.collect()].count("0") == 6 and found[39] == "6" and found[40] is None
     assert seen.value == 123
     assert M.group_time(rows.limit(0)).count() == 0
+
+
+def test_whole_table_scaling_fits_in_one_scan(spark):
+    from telesift.operators import scaling as S
+
+    seen = spark.sparkContext.accumulator(0)
+    rows = [(i, float(i % 5) if i % 7 else None, 2.0, float("inf") if i % 11 == 0 else float(i)) for i in range(50)]
+    df = _counted(spark.createDataFrame(rows, "row_id int, a double, b double, c double"), seen)
+    out, kept = S.clean_and_scale(df, [], ["row_id"])
+    assert seen.value == 50 and kept == ["a", "c"]
+    slim = df.select("row_id", "a", "c")
+    want = S.apply_scaler(slim, S.fit_scaler(slim, kept), kept)
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, want.collect()))
