@@ -147,3 +147,42 @@ def test_query_covers_all_documents(spark, sf, docs, name):
     out = entry_points.queries()[name](spark, sf)
     assert {"doc_id", "held_out", "score", "predicted"} <= set(out.columns)
     assert out.count() == docs.count()
+
+
+def test_groups_of_examples_share_no_matrix():
+    """Two vocabularies: usual terms of one are not multiplied with examples of the other, and the nearest stay exact."""
+    rng = np.random.default_rng(9)
+    counts = np.zeros((400, 120), int)
+    for i in range(400):
+        counts[i, 60 * (i % 2) + rng.choice(60, 20, replace=False)] = rng.integers(1, 4, 20)
+    counts[300:320] = counts[0]  # ties
+    weight = rng.random(120) + 0.5
+    terms = [toxicity.packed_terms(np.flatnonzero(c), c[c > 0]) for c in counts]
+    model = toxicity.Model(weight, np.arange(400), np.zeros(400, int), terms, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.0)
+    index = model.index
+    assert sum(d.size for d in index.dense) <= 0.6 * 120 * 400 and index.values.itemsize == 1
+    vectors = [toxicity.unit(*toxicity.unpacked(t), weight) for t in terms]
+    dense = np.zeros((400, 120))
+    for i, (c, v) in enumerate(vectors):
+        dense[i, c] = v
+    for i, (got, cosines) in enumerate(index.nearest_of(vectors, 15, list(range(400)))):
+        scores = np.round(dense @ dense[i], 12)
+        scores[i] = 0
+        want = [j for j in np.lexsort((np.arange(400), -scores)) if scores[j] > 0][:15]
+        assert i not in got and np.allclose(cosines, scores[want]) and np.allclose(np.sort(scores[got]), np.sort(scores[want]))
+
+
+def test_looked_up_terms_are_the_n_grams_of_plain_texts(monkeypatch):
+    """Letters of any plane, short words, digits and runs of blanks; counts are those of the plain text."""
+    rng = np.random.default_rng(10)
+    texts = [None, "", " \n", "1 2", "a", "A b", "ab_ab", "aaaaaaaaaa a aa", "日本語 テキス 日本語x", "𐐀𐐁𐐂 𐐀", "İstanbul ΟΔΟΣ", *("".join(rng.choice(list("ab zBİ日Σ𐐁1-\t"), 200)) for _ in range(60))]
+    known = sorted(set().union(*(toxicity.grams(toxicity.plain(t)) for t in texts[::2])))
+    table = toxicity.Grams(known)
+    for windows in (toxicity.WINDOWS, 7):
+        monkeypatch.setattr(toxicity, "WINDOWS", windows)
+        for text, terms in zip(texts, table.counted(texts), strict=True):
+            text = toxicity.plain(text)
+            want = {i: sum(text.startswith(g, at) for at in range(len(text))) for i, g in enumerate(known) if g in text}
+            cols, counts = toxicity.unpacked(terms)
+            assert dict(zip(cols.tolist(), counts.tolist(), strict=True)) == want
+    assert [len(toxicity.unpacked(t)[0]) for t in toxicity.Grams([]).counted(["a", None])] == [0, 0]
