@@ -186,3 +186,15 @@ def test_looked_up_terms_are_the_n_grams_of_plain_texts(monkeypatch):
             cols, counts = toxicity.unpacked(terms)
             assert dict(zip(cols.tolist(), counts.tolist(), strict=True)) == want
     assert [len(toxicity.unpacked(t)[0]) for t in toxicity.Grams([]).counted(["a", None])] == [0, 0]
+
+
+def test_index_is_shared_by_all_jobs(spark):
+    """Votes and scores read one broadcast: a worker never holds two indexes."""
+    terms = [toxicity.packed_terms(np.array([i % 3, 3 + i % 2]), np.array([1, 2])) for i in range(12)]
+    model = toxicity.Model(np.ones(5), np.arange(12), np.arange(12) % 2, terms, (np.array([0.0, 1.0]), np.array([0.0, 1.0])), 0.0)
+    votes = toxicity.own_votes(spark, model)
+    held = model.held
+    model.curve, model.empty = (np.array([0.0, 1.0]), np.array([0.25, 0.75])), 0.125
+    counted = spark.createDataFrame([(0, bytearray(terms[0])), (1, bytearray(toxicity.packed_terms(np.zeros(0, np.int64), np.zeros(0, np.int64))))], "doc_id long, terms binary")
+    got = {r.doc_id: r.score for r in toxicity.score(counted, model).collect()}
+    assert model.held is held and len(votes) == 12 and got[1] == 0.125 and 0.25 <= got[0] <= 0.75
