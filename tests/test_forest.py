@@ -162,3 +162,21 @@ def test_batches_are_joined_and_training_rows_travel_without_id(table, monkeypat
     assert calls[0].filter("held = (id IS NULL)").count() == 0
     sent = calls[0].groupBy("held").count().collect()
     assert {r["held"]: r["count"] for r in sent}[True] == 900
+
+
+def test_boosted_trees_answer_for_all_folds(spark, sf, monkeypatch):
+    """Every fold is held out once, learned from all others, and no option makes the boosted trees smaller."""
+    from telesift.plans import model_queries as Q
+
+    asked = []
+
+    def watched(train, test, features, label, clf, **options):
+        folds = [{r["fold"] for r in part.select("fold").distinct().collect()} for part in (train, test)]
+        asked.append((clf, options, *folds))
+        return test.select("fold", F.col(label).alias("y"), F.col(label).alias("p"))
+
+    monkeypatch.setattr(E, "predict", watched)
+    scores = {r["fold"]: r["accuracy"] for r in Q.clf_gbt(spark, sf).collect()}
+    assert scores == dict.fromkeys(range(5), 1.0)
+    assert sorted(asked, key=lambda a: min(a[3])) == [("gbt", {}, set(range(5)) - {f}, {f}) for f in range(5)]
+    assert E.clf_gbt().getMaxIter() == 100 and E.clf_gbt().getMaxDepth() == 6
