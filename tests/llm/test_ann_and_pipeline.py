@@ -144,3 +144,15 @@ def test_pipeline_on_empty_tables(spark, empty, tmp_path):
     empty.write.parquet(f"{sf}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{sf}/labels.parquet")
     assert corpus_pipeline.run(spark, sf).count() == 0
+
+
+def test_no_table_of_the_search_is_broadcast(spark, monkeypatch):
+    """However small Spark takes a table with lists to be, it is joined by sorting."""
+    plans, kept = [], ann.staged
+    monkeypatch.setattr(ann, "staged", lambda df, name: plans.append((name, df._jdf.queryExecution().sparkPlan().toString())) or kept(df, name))
+    rng = np.random.default_rng(12)
+    rows = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(300, 6)))], "vec_id long, embedding array<double>")
+    out = ann.nearest(rows, rows.where("vec_id % 30 = 0"), 5)
+    plans.append(("result", out._jdf.queryExecution().sparkPlan().toString()))
+    assert out.count() == 50 and {"ann-graph", "ann-state", "ann-queries", "result"} <= {name for name, _ in plans}
+    assert not [name for name, plan in plans if "BroadcastHashJoin" in plan or "BroadcastNestedLoop" in plan]
