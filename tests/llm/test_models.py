@@ -198,3 +198,17 @@ def test_index_is_shared_by_all_jobs(spark):
     counted = spark.createDataFrame([(0, bytearray(terms[0])), (1, bytearray(toxicity.packed_terms(np.zeros(0, np.int64), np.zeros(0, np.int64))))], "doc_id long, terms binary")
     got = {r.doc_id: r.score for r in toxicity.score(counted, model).collect()}
     assert model.held is held and len(votes) == 12 and got[1] == 0.125 and 0.25 <= got[0] <= 0.75
+
+
+def test_all_labelled_texts_are_examples(spark, monkeypatch):
+    """More labels than any former bound, and the same scores whether the examples lie in one part or in many."""
+    rows = [(i, f"wort{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}en {'qumbolt' if i % 3 == 0 else 'feld'}") for i in range(13_000)]
+    t, y = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    examples, totals = toxicity.sample_examples(t, y)
+    assert examples.count() == 13_000 and totals == {1: 4334, 0: 8666}
+    some, few = t.where("doc_id < 400"), y.where("doc_id < 400")
+    got = []
+    for part in (toxicity.PART, 64):
+        monkeypatch.setattr(toxicity, "PART", part)
+        got.append(sorted(map(str, toxicity.toxicity(some, few).collect())))
+    assert got[0] == got[1] and len(got[0]) == 400
