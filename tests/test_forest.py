@@ -180,3 +180,19 @@ def test_boosted_trees_answer_for_all_folds(spark, sf, monkeypatch):
     assert scores == dict.fromkeys(range(5), 1.0)
     assert sorted(asked, key=lambda a: min(a[3])) == [("gbt", {}, set(range(5)) - {f}, {f}) for f in range(5)]
     assert E.clf_gbt().getMaxIter() == 100 and E.clf_gbt().getMaxDepth() == 6
+
+
+def test_training_rows_are_neither_shuffled_nor_kept(spark, table, monkeypatch):
+    """A fit reads its rows from files of a task each, and they are gone when it ends; nothing is persisted beside them."""
+    from pathlib import Path
+
+    from telesift.session import scratch_root
+
+    monkeypatch.setattr(E, "TASK_ROWS", 100)
+    rows, kept, seen = table.fillna(0.0).replace(float("inf"), 9.0), E.dealt, []
+    monkeypatch.setattr(E, "dealt", lambda df: seen.append(kept(df)) or seen[-1])
+    left = lambda: {p.name for p in Path(scratch_root(spark), "telesift").glob("training-*")}
+    before = left()
+    assert E.predict(rows.filter("fold <> 0"), rows.filter("fold = 0"), ["f0", "f1", "f2"], "sign", "gbt", rounds=2, depth=2).count() == 300
+    assert not seen[0].is_cached and "Exchange" not in seen[0]._jdf.queryExecution().sparkPlan().toString()
+    assert left() == before and "training-" in seen[0].staged_at
